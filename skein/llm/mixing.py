@@ -7,9 +7,9 @@
    quotients target / 1, 3, 5, ...; within each source its shards (by a hash of the
    id) get the source's blocks in the same way, so one large source is many shards.
 3. In a shard, documents stand in the order of a seeded hash.  Its quota is so many full
-   passes and, for the rest, a seeded choice of blocks, evenly spaced from a seeded start.
+   passes and, for the rest, a run of blocks from a seeded start, around the end if need be.
    What a document gives is the passes times its words plus its words in chosen blocks,
-   in closed form from its first and last word's position.
+   in closed form from its first and last word's position; most are chosen whole or not at all.
 
 Only built-in DataFrame operations are used.  Quotas start at a lower bound in closed form and
 only the last few seats are ranked, so the number of blocks does not matter.  Tables by source or
@@ -78,10 +78,30 @@ def sainte_lague(shares: DataFrame, group: list[str], key: str, weight: str, sea
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
-    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    base = base.withColumn("_h", _hash(doc_id))
-    base = base.select("doc_id", "size", "_h", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), F.substring("_h", 1, 2).alias("shard"))
+    return _taken(base, max_repeats).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: whole rows of ``docs``, each as often as the words taken from it round to.
+
+    Only the documents at the ends of a shard's chosen run are taken in part; those round up above a limit that
+    differs from shard to shard and is even over all, so that the words stay near the targets also where
+    shards hold few documents.  Documents without words are not in the mix.
+    """
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("_row"))
+    limit = (F.pmod(F.conv("shard", 16, 10).cast("int") * 167 + 13, F.lit(256)) + 0.5) / 256
+    copies = F.coalesce(F.floor(F.try_divide("taken", "size") + 1 - limit), F.lit(0))
+    repeated = _taken(base, max_repeats).select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
+    return repeated.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _taken(base: DataFrame, max_repeats: int) -> DataFrame:
+    """``base`` (doc_id, source, size and any more) with source_size, target and taken."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    base = base.withColumn("_h", _hash(doc_id)).withColumn("_none", F.col("source").isNull())
+    base = base.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("shard", F.substring("_h", 1, 2))
     cells = scratch(base.groupBy("_none", "_source", "shard").agg(F.sum("size").alias("shard_size")), "cells")
     sources = cells.groupBy("_none", "_source").agg(F.sum("shard_size").alias("source_size"))
     aimed = targets(sources.select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size"), max_repeats=max_repeats)
@@ -99,22 +119,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_rest", F.expr("_take - _passes * shard_size"))
         .withColumn("_pick", F.expr("coalesce(least((2 * _rest * _n + shard_size) div nullif(2 * shard_size, 0), _n), 0)"))
         .withColumn("_start", F.pmod(start, F.col("_n")))
-        .select("_none", "_source", "shard", "source_size", "target", "block", "_n", "_passes", "_pick", "_start")
+        .select("_none", "_source", "shard", "source_size", "target", "_passes", (F.col("_start") * F.col("block")).alias("_from"),
+                ((F.col("_start") + F.col("_pick")) * F.col("block")).alias("_to"), ((F.col("_start") + F.col("_pick") - F.col("_n")) * F.col("block")).alias("_wrap"))
     )
     line = Window.partitionBy("_none", "_source", "shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = base.withColumn("_end", F.sum("size").over(line)).join(plan, ["_none", "_source", "shard"])
-    chosen = f"({_words_in('_end')}) - ({_words_in('(_end - size)')})"
-    return placed.select("doc_id", "size", "source_size", "target", F.expr(f"_passes * size + {chosen}").alias("taken"))
-
-
-def _words_in(x: str) -> str:
-    """SQL for the words of chosen blocks before word ``x`` of a shard."""
+    return placed.withColumn("taken", F.expr(f"_passes * size + {_words_before('_end')} - {_words_before('(_end - size)')}"))
 
-    def before(j: str) -> str:
-        return f"(({j} + _start) * _pick div _n)"
 
-    j = f"({x} div block)"
-    return f"block * ({before(j)} - (_start * _pick div _n)) + ({x} - {j} * block) * ({before(f'({j} + 1)')} - {before(j)})"
+def _words_before(x: str) -> str:
+    """SQL for the words of the chosen run of blocks, which may wrap around, before word ``x`` of a shard."""
+    return f"(greatest(0, least({x}, _to) - _from) + least({x}, greatest(0, _wrap)))"
 
 
 MIX_SQL = r"""
@@ -154,9 +169,9 @@ p1 AS (SELECT *, least(quota * block, 3 * shard_size) AS take, greatest((shard_s
 p2 AS (SELECT *, coalesce(take // nullif(shard_size, 0), 0) AS passes, h % n AS start FROM p1),
 plan AS (SELECT *, coalesce(least((2 * (take - passes * shard_size) * n + shard_size) // nullif(2 * shard_size, 0), n), 0) AS pick FROM p2),
 line AS (SELECT *, CAST(sum(size) OVER (PARTITION BY none, source, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x FROM b),
-ends AS (SELECT l.doc_id, l.size, l.x, l.x - l.size AS y, p.* EXCLUDE (none, source, shard, h) FROM line l JOIN plan p USING (none, source, shard)),
-counted AS (SELECT *,
-  block * (((x // block + start) * pick) // n) + (x % block) * (((x // block + 1 + start) * pick) // n - ((x // block + start) * pick) // n) AS gx,
-  block * (((y // block + start) * pick) // n) + (y % block) * (((y // block + 1 + start) * pick) // n - ((y // block + start) * pick) // n) AS gy FROM ends)
-SELECT doc_id, size, source_size, target, CAST(passes * size + gx - gy AS BIGINT) AS taken FROM counted
+ends AS (
+  SELECT l.doc_id, l.size, l.x, l.x - l.size AS y, source_size, target, passes, start * block AS f, (start + pick) * block AS t, (start + pick - n) * block AS wrap
+  FROM line l JOIN plan p USING (none, source, shard))
+SELECT doc_id, size, source_size, target,
+  CAST(passes * size + greatest(0, least(x, t) - f) + least(x, greatest(0, wrap)) - greatest(0, least(y, t) - f) - least(y, greatest(0, wrap)) AS BIGINT) AS taken FROM ends
 """
