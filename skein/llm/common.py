@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from skein.sources.storage import drop_scratch, scratch, shared_dir
+
+__all__ = ["drop_scratch", "partitions", "rows_of", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,46 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local test session) a folder of this machine is made.
-    """
-    set_by_cluster = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return str(known.get()).rstrip("/")
-    own = tempfile.mkdtemp(prefix="skein-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    The files outlive any executor; the file system drops them when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        if "/skein-" in file:
-            folder = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -54,7 +54,7 @@ def suffix_ranks(ids: np.ndarray, end: np.ndarray, levels: tuple[int, ...]) -> t
     active, k, at_level = order[~single], 1, {}
     if 1 in levels:
         at_level[1] = np.sort(active)
-    while len(active) or any(x > k for x in levels):
+    while len(active):
         nxt = active + k
         second = np.where(nxt < end[active], rank[np.minimum(nxt, n - 1)] + 1, 0)
         by = np.lexsort((second, rank[active]))
@@ -68,8 +68,6 @@ def suffix_ranks(ids: np.ndarray, end: np.ndarray, levels: tuple[int, ...]) -> t
         active, k = active[~single], 2 * k
         if k in levels:
             at_level[k] = np.sort(active)
-        if not len(active) and k >= max(levels, default=0):
-            break
     return rank, {x: at_level.get(x, np.zeros(0, np.int64)) for x in levels}
 
 
