@@ -60,6 +60,7 @@ class Catalog:
     materialized: dict[str, str] = field(default_factory=dict)
     procedures: dict[str, str] = field(default_factory=dict)
     indexes: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
     schemas: set[str] = field(default_factory=set)
 
     def snapshot(self) -> Catalog:
@@ -174,7 +175,7 @@ class Engine:
     def _query(self, tokens: list[Token], args=None) -> DataFrame:
         tokens, options = dialect.extensions(tokens)
         self._open(tokens)
-        tokens = self._as_of(tokens)
+        tokens = self._as_of(self._context(tokens))
         recursive = self._recursive(tokens, options)
         if recursive is not None:
             return recursive
@@ -190,6 +191,19 @@ class Engine:
         text, bound = _bind(render(tokens), args)
         return self.spark.sql(text, args=bound) if bound else self.spark.sql(text)
 
+    def _context(self, tokens: list[Token]) -> list[Token]:
+        """SESSION_CONTEXT('key') as its value or NULL."""
+        out, i = [], 0
+        while i < len(tokens):
+            if tokens[i].key == "SESSION_CONTEXT" and i + 3 < len(tokens) and tokens[i + 1].text == "(":
+                value = self.context.get(tokens[i + 2].text.strip("'").lower())
+                out.append(W("NULL") if value is None else Token("text", "'" + value.replace("'", "''") + "'"))
+                i = close(tokens, i + 1) + 1
+            else:
+                out.append(tokens[i])
+                i += 1
+        return out
+
     def _as_of(self, tokens: list[Token]) -> list[Token]:
         """``t FOR SYSTEM_TIME AS OF ms`` (or BETWEEN, ALL) as a view of the versions."""
         out, i = [], 0
@@ -479,6 +493,36 @@ class Engine:
                 out = self._run(self._qualified(bound), None)
         return out
 
+    def _create_function(self, tokens, args):
+        """A scalar SQL function: name (argument type, ..) RETURNS type [AS [BEGIN]] RETURN expression [END]."""
+        name, end = name_of(tokens), close(tokens, 1)
+        given = []
+        for part in split(tokens[2:end]):
+            if part:
+                given.append(f"{part[0].text.lstrip('@')} {dialect.type_text(part[1:])}")
+        at, start = find(tokens, "RETURN", start=end + 1), find(tokens, "RETURNS", start=end + 1)
+        kind = tokens[start + 1 : at]
+        stop = next((i for i, t in enumerate(kind) if t.key in ("AS", "BEGIN")), len(kind))
+        body = tokens[at + 1 :]
+        if body[-1].key == "END" and any(t.key == "BEGIN" for t in kind):
+            body = body[:-1]
+        body = [W(t.text[1:]) if t.kind == "param" and t.text[0] == "@" else t for t in body if t.text != ";"]
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(given)}) RETURNS {dialect.type_text(kind[:stop])} RETURN {render(dialect.query(body))}")
+        return self._message("created")
+
+    def _create_type(self, tokens, args):
+        """A table type: the schema that :meth:`table_value` gives to literal rows."""
+        at = find(tokens, "TABLE")
+        columns: list = []
+        for part in split(tokens[at + 2 : close(tokens, at + 1)]):
+            self._column(part, Table(None), columns)
+        self.catalog.types[name_of(tokens)] = ", ".join(f"`{c}` {t}" for c, t in columns)
+        return self._message("created")
+
+    def table_value(self, kind: str, name: str, rows: list[tuple]) -> None:
+        """Make ``rows`` of a table type known as a table."""
+        self._put(name.lower(), Table(files.values(self.spark, rows, self.catalog.types[kind.lower()])))
+
     # -- changes --------------------------------------------------------------------------------
 
     def _change(self, name: str, df: DataFrame, n: int) -> DataFrame:
@@ -746,7 +790,7 @@ class Engine:
 
     def _set(self, tokens, args):
         at = find(tokens, "=")
-        self.context[render(tokens[:at]).lower()] = render(tokens[at + 1 :]).strip("'")
+        self.context[render(tokens[:at]).lower()] = tokens[at + 1].text.strip("'").replace("''", "'")
         return self._message("set")
 
 
@@ -758,7 +802,7 @@ STATEMENTS = sorted(
         (("CREATE", "UNIQUE", "INDEX"), "_create_index"), (("DROP", "INDEX"), "_drop_index"), (("CREATE", "VIEW"), "_create_view"), (("CREATE", "OR", "REPLACE", "VIEW"), "_create_view"),
         (("DROP", "VIEW"), "_drop_view"), (("CREATE", "MATERIALIZED", "VIEW"), "_create_matview"), (("REFRESH", "MATERIALIZED", "VIEW"), "_refresh_matview"),
         (("DROP", "MATERIALIZED", "VIEW"), "_drop_matview"), (("CREATE", "PROCEDURE"), "_create_procedure"), (("CREATE", "OR", "ALTER", "PROCEDURE"), "_create_procedure"),
-        (("DROP", "PROCEDURE"), "_drop_procedure"), (("EXEC",), "_exec"), (("EXECUTE",), "_exec"), (("INSERT", "INTO"), "_insert"), (("UPDATE",), "_update"), (("DELETE", "FROM"), "_delete"),
+        (("DROP", "PROCEDURE"), "_drop_procedure"), (("CREATE", "FUNCTION"), "_create_function"), (("CREATE", "OR", "ALTER", "FUNCTION"), "_create_function"), (("CREATE", "TYPE"), "_create_type"), (("EXEC",), "_exec"), (("EXECUTE",), "_exec"), (("INSERT", "INTO"), "_insert"), (("UPDATE",), "_update"), (("DELETE", "FROM"), "_delete"),
         (("MERGE", "INTO"), "_merge"), (("MERGE",), "_merge"), (("BEGIN", "TRANSACTION"), "_begin"), (("BEGIN",), "_begin"), (("COMMIT",), "_commit"), (("ROLLBACK",), "_rollback"),
         (("SAVEPOINT",), "_savepoint"), (("RELEASE",), "_release"), (("EXPLAIN",), "_explain"), (("ANALYZE",), "_analyze"), (("EXPLAIN", "ANALYZE"), "_analyze"),
         (("SHOW", "TABLES"), "_show_tables"), (("VACUUM",), "_vacuum"), (("COPY",), "_copy"), (("BACKUP", "TO"), "_backup"), (("RESTORE", "FROM"), "_restore_from"), (("SET",), "_set"),

@@ -184,3 +184,27 @@ def test_definitions(run):
         run("DROP TABLE nothing")
     with pytest.raises(ValueError):
         run("FROBNICATE")
+
+
+def test_functions_types_context(run):
+    run("CREATE FUNCTION twice(@x INT, y INT) RETURNS INT AS BEGIN RETURN @x * 2 + y END")
+    assert run("SELECT twice(4, 1)") == [(9,)]
+    run("CREATE TYPE pairs AS TABLE (a INT, b VARCHAR(5))")
+    run.engine.table_value("pairs", "p", [(1, "x"), (2, None)])
+    assert run("SELECT a, b FROM p ORDER BY a") == [(1, "x"), (2, None)]
+    run("SET user_name = 'o''hara'")
+    assert run("SELECT SESSION_CONTEXT('user_name'), SESSION_CONTEXT('none')") == [("o'hara", None)]
+
+
+def test_materialized_views_and_utilities(t):
+    t("CREATE MATERIALIZED VIEW m AS SELECT dept, COUNT(*) AS n FROM t GROUP BY dept")
+    t("DELETE FROM t WHERE dept = 1")
+    assert len(t("SELECT * FROM m")) == 3
+    t("REFRESH MATERIALIZED VIEW m")
+    assert len(t("SELECT * FROM m")) == 2
+    t("DROP MATERIALIZED VIEW m")
+    t("VACUUM")
+    assert ("t",) in t("SHOW TABLES") and t("ANALYZE SELECT * FROM t")[0][0] == 3
+    assert any("Filter" in line for (line,) in t("EXPLAIN SELECT id FROM t WHERE salary > 1"))
+    assert t("SELECT COUNT(DISTINCT id) AS n FROM t USING HYPERLOGLOG") == [(3,)]
+    assert t("SELECT AVG(salary) AS a APPROXIMATE WITHIN 1 CONFIDENCE 0.9 FROM t")[0][0] == 250.0
