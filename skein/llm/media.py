@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from skein.llm.common import partitions, rows_of, scratch
 
 UNIT = 64
-LEAST, MOST = 2_048, 65_536
+LEAST, MOST = 4_096, 65_536
 #: Zero bits at the hash's top that end a chunk: every 2^n bytes in the mean, beyond the least size.
-TOP_BITS = 12
+TOP_BITS = 13
 RATE = 8_000
-LEVEL = 6
+LEVEL = 9
+#: The compression dictionary: at most this many bytes, trained on the first chunks of at most this many texts.
+DICTIONARY_BYTES, DICTIONARY_TEXTS = 112_640, 2_000
 SPLITMIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -110,13 +112,25 @@ def feature(data: bytes, chunks: int) -> str:
     return f"wav8 mean={mean:.4f} rms={power**0.5:.4f} crossings={crossings} chunks={chunks}"
 
 
-def _chunks(media: DataFrame, with_data: bool) -> DataFrame:
-    """(key, seq, digest, length) or (digest, data) of each chunk of (key, text)."""
+def dictionary(docs: DataFrame, id_col: str, text_col: str) -> bytes:
+    """A compression dictionary from a bounded sample, the rows whose ids hash lowest; empty if there is too little to train on."""
+    import zstandard
+
+    sample = docs.select(F.xxhash64(id_col).alias("h"), F.substring(F.coalesce(text_col, F.lit("")), 1, LEAST).alias("t"))
+    rows = sample.orderBy("h", "t").limit(DICTIONARY_TEXTS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [wav(payload(r.t)) for r in rows]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _chunks(media: DataFrame, with_data: bool, words: bytes = b"") -> DataFrame:
+    """(key, seq, digest, length) or (digest, data), compressed with the dictionary ``words``, of each chunk of (key, text)."""
 
     def split(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         seen: set[bytes] = set()
         for batch in batches:
             for part in rows_of(batch):
@@ -142,25 +156,25 @@ def _chunks(media: DataFrame, with_data: bool) -> DataFrame:
     return media.mapInArrow(split, "digest binary, data binary" if with_data else "key binary, seq int, digest binary, length int")
 
 
-REBUILT = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+REBUILT = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
-def _rebuild(pieces: DataFrame) -> DataFrame:
+def _rebuild(pieces: DataFrame, words: bytes) -> DataFrame:
     """From (key, seq, digest, data), all chunks of a key together and in order, a row per key."""
 
     def join(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         key, parts, out = None, [], []
 
         def finish():
             file = b"".join(parts)
             data = samples(file)
-            out.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(data, len(parts))))
+            out.append((key, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).digest(), feature(data, len(parts))))
 
         def batch_of(rows):
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in REBUILT.split(", ")])
 
         for batch in batches:
@@ -185,17 +199,20 @@ def _rebuild(pieces: DataFrame) -> DataFrame:
     return pieces.select("key", "seq", "digest", "data").repartition(n, "key").sortWithinPartitions("key", "seq").mapInArrow(join, REBUILT)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, manifest, chunks): (doc_id, n_bytes, key), (key, seq, digest, length) and (digest, data)."""
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, bytes]:
+    """(rows, manifest, chunks, dictionary): (doc_id, n_bytes, key), (key, seq, digest, length), (digest, data), and what the data is compressed with."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("key"))
-    media = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    key = F.substring(F.unhex(F.sha2(text, 256)), 1, 20)  # of the text's digest, as an identity
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), key.alias("key"))
+    media = docs.select(key.alias("key"), text.alias("text"))
+    words = dictionary(docs, id_col, text_col)
     manifest = scratch(_chunks(media, with_data=False).dropDuplicates(["key", "seq"]), "manifest")
-    return rows, manifest, _chunks(media, with_data=True).dropDuplicates(["digest"])
+    return rows, manifest, _chunks(media, with_data=True, words=words).dropDuplicates(["digest"]), words
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store all media, read them back from their chunk lists, and describe them, a row per row of ``docs``."""
-    rows, manifest, chunks = store(docs, id_col, text_col)
-    rebuilt = _rebuild(manifest.join(chunks, "digest"))
-    return rows.join(rebuilt, "key").drop("key")
+    rows, manifest, chunks, words = store(docs, id_col, text_col)
+    rebuilt = _rebuild(manifest.drop("length").join(chunks, "digest"), words)
+    sha = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.join(rebuilt, "key").select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256"), "tail_crc32", "media_bytes", sha("media_sha256"), "feature")
