@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRADES = 4
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 MAX_FEATURES = 1_500
 STARTS = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,22 +85,22 @@ def train(texts: list[str], toxic: list[int], max_features: int = MAX_FEATURES,
     y = np.array(toxic, int)
     if not y.any() or y.all():
         return Model()
-    counts = [word_counts(t) for t in texts]
     in_toxic: Counter = Counter()
     for i in np.flatnonzero(y):
-        in_toxic.update(set().union(*map(parts, counts[i])) if counts[i] else ())
-    least = max(2, int(y.sum() * 0.004))
+        in_toxic.update({f for word in word_counts(texts[i]) for f in parts(word)})
+    least = max(2, int(y.sum() * 0.01))
     chosen = {f for f, n in in_toxic.items() if n >= least}
+    in_toxic = Counter({f: in_toxic[f] for f in chosen})
     heads = {f.rstrip("$")[:4] for f in chosen}
-    held: list[Counter] = []
+    held: list[dict[str, int]] = []  # only chosen features are kept: words of all texts together would not fit
     in_clean: Counter = Counter()
-    for c, label in zip(counts, y, strict=True):
+    for text, label in zip(texts, y, strict=True):
         own: Counter = Counter()
-        for word, n in c.items():
+        for word, n in word_counts(text).items():
             if word[:4] in heads:
                 for f in parts(word) & chosen:
                     own[f] += n
-        held.append(own)
+        held.append(dict(own))
         if not label:
             in_clean.update(own.keys())
     pos, neg = y.sum(), len(y) - y.sum()
@@ -111,8 +111,10 @@ def train(texts: list[str], toxic: list[int], max_features: int = MAX_FEATURES,
         return Model()
     index = {f: j for j, f in enumerate(names)}
     typical = {f for f in names if in_toxic[f] > 9 * in_clean[f]}
-    evidence = np.array([sum(n for w, n in c.items() if w[:4] in heads and parts(w) & typical) for c in counts], float)
-    grade = np.where(y == 0, 0, np.select([evidence <= 1, evidence <= 4], [1, 2], 3))
+    grade = np.zeros(len(y), int)
+    for i in np.flatnonzero(y):
+        evidence = sum(n for w, n in word_counts(texts[i]).items() if w[:4] in heads and parts(w) & typical)
+        grade[i] = 1 if evidence <= 1 else 2 if evidence <= 4 else 3
     cells = [(i, index[f], np.log1p(n)) for i, own in enumerate(held) for f, n in own.items() if f in index]
     row, col, value = (np.array(c) for c in zip(*cells, strict=True))
     w, t = fit_cumulative(row, col, value, len(names), grade, l2, steps)
