@@ -87,6 +87,10 @@ class Engine:
     def register(self, name: str, df: DataFrame) -> None:
         self._put(name.lower(), Table(df))
 
+    def register_function(self, name: str, function, returns: str) -> None:
+        """A Python function for use in SQL; pass a pandas or Arrow UDF for anything but small tables."""
+        self.spark.udf.register(name, function) if hasattr(function, "evalType") else self.spark.udf.register(name, function, returns)
+
     def load_parquet(self, path: str, name: str, columns: list[str] | None = None) -> int:
         self._put(name.lower(), Table(files.read_parquet(self.spark, path, columns)))
         return self.catalog.tables[name.lower()].df.count()

@@ -192,6 +192,8 @@ def test_functions_types_context(run):
     run("CREATE TYPE pairs AS TABLE (a INT, b VARCHAR(5))")
     run.engine.table_value("pairs", "p", [(1, "x"), (2, None)])
     assert run("SELECT a, b FROM p ORDER BY a") == [(1, "x"), (2, None)]
+    run.engine.register_function("shout", lambda x: x and x.upper(), "string")
+    assert run("SELECT shout('a')") == [("A",)]
     run("SET user_name = 'o''hara'")
     assert run("SELECT SESSION_CONTEXT('user_name'), SESSION_CONTEXT('none')") == [("o'hara", None)]
 
