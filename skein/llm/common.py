@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.sources.storage import drop_scratch, scratch, shared_dir
 
-__all__ = ["drop_scratch", "partitions", "rows_of", "scratch", "shared_dir", "table"]
+__all__ = ["bounded_sample", "drop_scratch", "partitions", "rows_of", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, chosen by the hash of their id: a count, then a filter, so no task or driver holds more."""
+    n = df.count()
+    share = 1.0 if n <= most else 0.98 * most / n
+    return df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(share * (1 << 40))).limit(most)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

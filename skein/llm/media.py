@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions, rows_of, scratch
+from skein.llm.common import bounded_sample, partitions, rows_of, scratch
 
 UNIT = 64
 LEAST, MOST = 4_096, 65_536
@@ -113,11 +113,10 @@ def feature(data: bytes, chunks: int) -> str:
 
 
 def dictionary(docs: DataFrame, id_col: str, text_col: str) -> bytes:
-    """A compression dictionary from a bounded sample, the rows whose ids hash lowest; empty if there is too little to train on."""
+    """A compression dictionary from a bounded sample of rows; empty if there is too little to train on."""
     import zstandard
 
-    sample = docs.select(F.xxhash64(id_col).alias("h"), F.substring(F.coalesce(text_col, F.lit("")), 1, LEAST).alias("t"))
-    rows = sample.orderBy("h", "t").limit(DICTIONARY_TEXTS).collect()
+    rows = bounded_sample(docs, id_col, DICTIONARY_TEXTS).select(F.substring(F.coalesce(text_col, F.lit("")), 1, LEAST).alias("t")).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [wav(payload(r.t)) for r in rows]).as_bytes()
     except zstandard.ZstdError:
