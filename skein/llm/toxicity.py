@@ -7,8 +7,8 @@ starts of 4 to 7 letters, as log(1 + count).  One weight vector is shared by all
 P(grade > k) = logistic(w x - t_k) with t_0 < t_1 < t_2, fitted by penalised maximum likelihood, so
 the expected severity is the sum of the three.
 
-The model is fitted on the driver from a bounded sample, the ``max_rows`` labelled rows with the
-smallest id hash; scoring covers every word of every text.
+The model is fitted on the driver from a bounded sample, at most ``max_rows`` labelled rows chosen by
+the hash of their id; scoring covers every word of every text.
 
 Cases: a null text counts as empty (no features, lowest severity); null or unknown labels are not
 used; with no toxic label all texts have severity 0; null ids are scored; repeated rows give
@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.common import bounded_sample
+
 GRADES = 4
 MAX_ROWS = 6_000
 MAX_FEATURES = 1_500
@@ -56,6 +58,17 @@ def parts(word: str) -> set[str]:
     return {f"{word}$", *(word[:n] for n in STARTS if len(word) >= n)}
 
 
+def _features(counts: Counter, among, heads: set[str]) -> Counter:
+    """How often each feature of ``among`` occurs; ``heads`` are their first letters."""
+    out: Counter = Counter()
+    for word, n in counts.items():
+        if word[:4] in heads:
+            for f in parts(word):
+                if f in among:
+                    out[f] += n
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -65,12 +78,7 @@ class Model:
         self.heads = {f.rstrip("$")[:4] for f in self.weights}
 
     def margin(self, text: str | None) -> float:
-        counts: Counter = Counter()
-        for word, n in word_counts(text).items():
-            if word[:4] in self.heads:
-                for f in parts(word):
-                    if f in self.weights:
-                        counts[f] += n
+        counts = _features(word_counts(text), self.weights, self.heads)
         return sum(self.weights[f] * np.log1p(n) for f, n in counts.items())
 
     def above(self, margins: np.ndarray) -> np.ndarray:
@@ -92,17 +100,9 @@ def train(texts: list[str], toxic: list[int], max_features: int = MAX_FEATURES,
     chosen = {f for f, n in in_toxic.items() if n >= least}
     in_toxic = Counter({f: in_toxic[f] for f in chosen})
     heads = {f.rstrip("$")[:4] for f in chosen}
-    held: list[dict[str, int]] = []  # only chosen features are kept: words of all texts together would not fit
     in_clean: Counter = Counter()
-    for text, label in zip(texts, y, strict=True):
-        own: Counter = Counter()
-        for word, n in word_counts(text).items():
-            if word[:4] in heads:
-                for f in parts(word) & chosen:
-                    own[f] += n
-        held.append(dict(own))
-        if not label:
-            in_clean.update(own.keys())
+    for i in np.flatnonzero(y == 0):
+        in_clean.update(_features(word_counts(texts[i]), chosen, heads).keys())
     pos, neg = y.sum(), len(y) - y.sum()
     lift = {f: np.log((in_toxic[f] + 0.5) / (pos + 1)) - np.log((in_clean[f] + 0.5) / (neg + 1)) for f in chosen}
     gain = {f: in_toxic[f] * lift[f] for f in chosen if lift[f] > np.log(4)}
@@ -110,12 +110,15 @@ def train(texts: list[str], toxic: list[int], max_features: int = MAX_FEATURES,
     if not names:
         return Model()
     index = {f: j for j, f in enumerate(names)}
+    heads = {f.rstrip("$")[:4] for f in names}
     typical = {f for f in names if in_toxic[f] > 9 * in_clean[f]}
-    grade = np.zeros(len(y), int)
-    for i in np.flatnonzero(y):
-        evidence = sum(n for w, n in word_counts(texts[i]).items() if w[:4] in heads and parts(w) & typical)
-        grade[i] = 1 if evidence <= 1 else 2 if evidence <= 4 else 3
-    cells = [(i, index[f], np.log1p(n)) for i, own in enumerate(held) for f, n in own.items() if f in index]
+    grade, cells = np.zeros(len(y), int), []
+    for i, text in enumerate(texts):  # again, as the words of all texts together would not fit
+        counts = word_counts(text)
+        cells += [(i, index[f], np.log1p(n)) for f, n in _features(counts, index, heads).items()]
+        if y[i]:
+            evidence = sum(n for w, n in counts.items() if w[:4] in heads and parts(w) & typical)
+            grade[i] = 1 if evidence <= 1 else 2 if evidence <= 4 else 3
     row, col, value = (np.array(c) for c in zip(*cells, strict=True))
     w, t = fit_cumulative(row, col, value, len(names), grade, l2, steps)
     return Model({f: float(w[j]) for f, j in index.items() if abs(w[j]) > 1e-3}, t)
@@ -155,10 +158,11 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the ``max_rows`` labelled rows whose ids hash lowest (a table of that bound is broadcast)."""
+    """Fit on at most ``max_rows`` labelled rows, chosen by the hash of their id (a table of that bound is broadcast)."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").orderBy("_id", "_y", "_text").limit(2 * max_rows).collect()
+    sample = bounded_sample(known, "_id", max_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").limit(2 * max_rows).collect()
+    rows.sort(key=lambda r: (r._id, r._y, r._text or ""))
     return train([r._text for r in rows], [r._y for r in rows])
 
 
