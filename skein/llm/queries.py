@@ -53,7 +53,7 @@ def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_pos", "url_key", "capture_time", "archive", "offset", "length"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time"]
     return warc.archive(table(spark, sf_dir, "pages")).select(columns)
 
 
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op5_sainte_lague_mix": mixing.MIX_SQL.replace("{docs}", "documents")}
+SQL: dict[str, str] = {"op5_sainte_lague_mix": mixing.MIX_SQL.replace("{docs}", "documents"), "op10_warc_index": warc.ARCHIVE_SQL}

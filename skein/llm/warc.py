@@ -228,3 +228,19 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Write all pages to archives, merge their index, and read all records back through it."""
     written = write_archives(pages, id_col, url_col, html_col)
     return read_archives(written).join(merge_index(written), ["archive", "offset"])
+
+
+#: DuckDB SQL for the result of :func:`archive` (URLs with a scheme and a host).
+ARCHIVE_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(url) AS u, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+f AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '.')), ',')
+    || regexp_replace(regexp_extract(u, '^[a-z]+://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1), '^:(80|443)$', '') || ')'
+    || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
+FROM f
+"""
