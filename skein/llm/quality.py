@@ -154,7 +154,9 @@ def score(text: Column, model: Model) -> Column:
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, columns unchanged; no shuffle."""
+    """The rows of ``docs`` that the model accepts, columns unchanged; no shuffle.  A model that saw no two classes accepts all."""
+    if model.means is None:
+        return docs
     return docs.where(score(F.col(text_col), model) >= threshold)
 
 
