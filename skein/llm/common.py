@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.sources.storage import drop_scratch, scratch, shared_dir
 
-__all__ = ["bounded_sample", "drop_scratch", "partitions", "rows_of", "scratch", "shared_dir", "table"]
+__all__ = ["bounded_sample", "drop_scratch", "join_unique", "partitions", "rows_of", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(share * (1 << 40))).limit(most)
 
 
+#: A key is hot if it holds more than this part of the rows, so there are fewer than this many.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table that has one row per key, where few keys of ``left`` may hold most of its rows.
+
+    Rows of hot keys stay where they are and meet their fewer than ``HOT`` partners by broadcast; all others are
+    shuffled by key, none of which is large.  Both sides are read twice, so pass written tables.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > max(HOT, left.count() / HOT)).select(*keys)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    return left.join(few, keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,8 +9,8 @@ manifest with the store, puts each medium's chunks in order, verifies every chun
 file's, and only then takes payload and features from it.
 
 The manifest shuffles digests, the store and the rebuilding shuffle each distinct chunk's
-compressed bytes; hot texts and hot chunks are single rows in the store, and adaptive execution splits what
-joins to them.  A task holds one medium at a time.
+compressed bytes; hot texts and hot chunks are single rows in the store, rows of hot texts get their results by
+broadcast, and adaptive execution splits what joins hot chunks.  A task holds one medium at a time.
 
 Cases: a null text counts as empty (64 zero samples); null ids stay null; repeated rows give a row each and
 share all values; an empty table gives no rows; other columns are not read.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_sample, partitions, rows_of, scratch
+from skein.llm.common import bounded_sample, join_unique, partitions, rows_of, scratch
 
 UNIT = 64
 LEAST, MOST = 4_096, 65_536
@@ -212,6 +212,6 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store all media, read them back from their chunk lists, and describe them, a row per row of ``docs``."""
     rows, manifest, chunks, words = store(docs, id_col, text_col)
-    rebuilt = _rebuild(manifest.drop("length").join(chunks, "digest"), words)
+    rebuilt = scratch(_rebuild(manifest.drop("length").join(chunks, "digest"), words), "rebuilt")
     sha = lambda c: F.lower(F.hex(c)).alias(c)
-    return rows.join(rebuilt, "key").select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256"), "tail_crc32", "media_bytes", sha("media_sha256"), "feature")
+    return join_unique(rows, rebuilt, ["key"]).select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256"), "tail_crc32", "media_bytes", sha("media_sha256"), "feature")
