@@ -42,12 +42,12 @@ CUT = {"head", "script", "style", "noscript", "template", "nav", "footer", "asid
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 #: Words of a class or id that mark what is not the article.
 CUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent",
-    "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
-    "notification", "outbrain", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar",
+    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent",
+    "cookie", "cookies", "copyright", "discussion", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
+    "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "sidenav",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "warning", "widget",
 }
-READERS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+READERS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 ARTICLE = {"article", "main"}
 NEVER_CUT = {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "a", "b", "i", "em", "strong", "span", "td", "tr", "table", "tbody", "li", "blockquote", "pre", "code"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -149,7 +149,10 @@ def _is_cut(node: Node, in_article: bool) -> bool:
             return node.tag not in ("html", "body")
     if node.tag in NEVER_CUT:
         return bool(names & READERS) and node.tag not in ("html", "body", "main")
-    return role in CUT_ROLES or bool(names & CUT_WORDS)
+    words = names & CUT_WORDS
+    if words == {"header"} and in_article:
+        return False  # an article's own heading
+    return role in CUT_ROLES or bool(words)
 
 
 def measure(root: Node) -> list[Node]:

@@ -68,7 +68,7 @@ def test_rules_verdict(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style></head><body class="no-sidebar"><header><h1>Site</h1></header>
 <div id="cookie-notice">We use cookies, ok?</div><nav><ul><li><a href=/>Home</a></ul></nav><div class="wrap"><div class="sidebar"><p>Side, text, here, more</p></div>
-<article><header><h1>Head &amp; line</h1></header><p>First para, with   commas, and&nbsp;more.<p>Second<br>line <b>bold<p>Third</b> <i>it<ul><li>one</li><li>two</ul>
+<article><div class='article-header'><h1>Head &amp; line</h1></div><div class='site alert'>Notice!</div><p>First para, with   commas, and&nbsp;more.<p>Second<br>line <b>bold<p>Third</b> <i>it<ul><li>one</li><li>two</ul>
 <table><tr><td>c1<td>c2</table><blockquote>quote</blockquote><div class="ad">Buy!</div><form><input>Name</form><section id="comments"><p>Nice, article, thanks, bye</p></section></article>
 </div><footer>f</footer><script>if(a<b){"</p>"}</script></body>"""
 
