@@ -29,7 +29,7 @@ FEATURES = (
     "words", "word_length", "upper", "digits", "symbols", "bangs", "pipes", "stops", "commas", "unique", "adjacent", "lines", "repeated_lines", "other_bytes",
 )
 THRESHOLD = 0.7
-TO_POOLED, TO_IDENTITY = 0.05, 0.01
+TO_POOLED, TO_IDENTITY = 0.4, 0.01
 #: Log-density differences are divided by this before the logistic, as the features are not quite Gaussian.
 TEMPERATURE = 2.0
 
