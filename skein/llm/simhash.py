@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import partitions, scratch
+from skein.llm.common import join_unique, partitions, scratch
 from skein.llm.components import components
 
 SEED = 42
@@ -204,7 +204,7 @@ def bits_at(similarity: float, lanes: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, tables: int = 64,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, tables: int = 160,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row; ``component_id`` is the smallest id in the row's component."""
     if lanes == 1 and max_bits > MAX_BITS:
@@ -214,11 +214,11 @@ def near_duplicates(
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
     node = F.col("_lane0") if lanes == 1 else hex_fingerprint(lanes)
     found = components(links(postings(classes, lanes, tables), lanes, max_bits))
-    linked = found.join(classes.select(node.alias("node"), "first_id", *names), "node")
+    linked = scratch(found.join(classes.select(node.alias("node"), "first_id", *names), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = scratch(linked.join(least, "root").select(*names, "component_id"), "labels")
-    label = classes.join(labels, names, "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(label, names).select("doc_id", hex_fingerprint(lanes).alias("fingerprint"), "component_id")
+    labels = join_unique(linked, least, ["root"]).select(*names, "component_id")
+    label = scratch(classes.join(labels, names, "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id")), "labels")
+    return join_unique(prints, label, names).select("doc_id", hex_fingerprint(lanes).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
