@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import drop_scratch, scratch
 
+#: Tasks that share the links of one node, as a hub may hold a third of all links.
+SALTS = 8
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; ``root`` is the smallest node reachable.
@@ -14,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates two star operations: each node hands its larger neighbours, then its
     smaller ones, to the smallest neighbour it has.  The number of rounds grows with the
     logarithm of a component's diameter.  Each step is a minimum with a partial
-    aggregate and a join on the node, whose hot keys adaptive execution splits; the
+    aggregate and a join on the node, where each node's links are spread over ``SALTS`` tasks; the
     state between the rounds is a table in shared storage, so a lost executor costs a retry.
     Self loops, repeated links and both directions are allowed; an empty table gives no rows.
     """
@@ -38,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _star(links: DataFrame, keep_larger: bool) -> DataFrame:
     """Links ``(u, v)`` with ``u > v`` after one star operation."""
     least = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = links.join(least, "u")
+    copies = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "_salt"])
     if keep_larger:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
