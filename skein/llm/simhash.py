@@ -14,9 +14,8 @@ on a spanning forest of its verified pairs, never all of them: links stay whole
 components, and their number stays below the number of rows in the postings.
 
 With ``lanes`` above 1 the fingerprint has that many 64-bit lanes (the further ones
-hash each shingle anew).  Then a similarity can be asked for: pairs that share three
-bytes at one of ``tables`` fixed triples of positions are candidates and are verified
-by their differing bits, which estimate the cosine of the shingle counts.
+hash each shingle anew).  Bits only estimate a similarity, so links then are those of
+the exact shingle sets (``shingles``), whatever ``max_bits`` and ``tables``.
 
 Cases: a null or word-less text has fingerprint zero and links like any other; a text
 with fewer words than a shingle is one shingle; repeated rows give a row each; a null
@@ -31,10 +30,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm import shingles
 from skein.llm.common import join_unique, partitions, scratch
 from skein.llm.components import components
 
@@ -97,6 +97,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return hashed.select("doc_id", *[F.col("_f")[k].alias(name) for k, name in enumerate(lane_names(lanes))])
 
 
+def hex_of(text: Column, shingle: int, lanes: int) -> Column:
+    """The lanes of a text's fingerprint as one hex string."""
+
+    @F.arrow_udf(T.StringType())
+    def of(batch: pa.Array) -> pa.Array:
+        return pa.array(["".join(f"{lane & (1 << 64) - 1:016x}" for lane in simhash(t, shingle, lanes)) for t in batch.to_pylist()], pa.string())
+
+    return of(text)
+
+
 def hex_fingerprint(lanes: int):
     return F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in lane_names(lanes)])
 
@@ -204,9 +214,15 @@ def bits_at(similarity: float, lanes: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, tables: int = 160,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, tables: int = 160, similarity: float = 0.8,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row; ``component_id`` is the smallest id in the row's component."""
+    """(doc_id, fingerprint, component_id) per row; ``component_id`` is the smallest id in the row's component.
+
+    One lane links up to ``max_bits`` differing bits, more lanes link the exact ``similarity`` of shingle sets or more.
+    """
+    if lanes > 1:
+        printed = docs.select(id_col, text_col).withColumn("fingerprint", hex_of(F.col(text_col), shingle, lanes))
+        return shingles.near_duplicates(printed, id_col, text_col, shingle, similarity, keep=("fingerprint",)).select("doc_id", "fingerprint", "component_id")
     if lanes == 1 and max_bits > MAX_BITS:
         raise ValueError("one lane guarantees five shared bytes up to three differing bits only; take more lanes")
     names = lane_names(lanes)
