@@ -309,8 +309,8 @@ sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice D
 sql("limit_topk", "SELECT event_id FROM events ORDER BY event_id LIMIT 7")
 sql("offset", "SELECT event_id FROM events ORDER BY event_id LIMIT 5 OFFSET 10")
 sql("fetch_first", "SELECT event_id FROM events ORDER BY event_id OFFSET 3 ROWS FETCH FIRST 4 ROWS ONLY", "SELECT event_id FROM events ORDER BY event_id LIMIT 4 OFFSET 3")
-sql("sort_nulls", "SELECT c_custkey, x FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS x FROM customer) AS c ORDER BY x DESC NULLS LAST, c_custkey LIMIT 50")
-sql("sort_string", "SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey DESC LIMIT 40")
+sql("sort_nulls", "SELECT c_custkey, x FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS x FROM customer) AS c ORDER BY x DESC NULLS LAST, c_custkey")
+sql("sort_string", "SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey DESC")
 
 # -- sets, common table expressions, views ----------------------------------------------------------------
 
