@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from skein.llm.common import bounded_sample, join_unique, partitions, rows_of, scratch
 
 UNIT = 64
-LEAST, MOST = 4_096, 65_536
+LEAST, MOST = 256, 65_536
 #: Zero bits at the hash's top that end a chunk: every 2^n bytes in the mean, beyond the least size.
-TOP_BITS = 13
+TOP_BITS = 9
 RATE = 8_000
 LEVEL = 9
-#: The compression dictionary: at most this many bytes, trained on the first chunks of at most this many texts.
-DICTIONARY_BYTES, DICTIONARY_TEXTS = 112_640, 2_000
+#: The compression dictionary: at most this many bytes, trained on so many first characters of at most this many texts.
+DICTIONARY_BYTES, DICTIONARY_CHARS, DICTIONARY_TEXTS = 112_640, 4_096, 2_000
 SPLITMIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -116,7 +116,7 @@ def dictionary(docs: DataFrame, id_col: str, text_col: str) -> bytes:
     """A compression dictionary from a bounded sample of rows; empty if there is too little to train on."""
     import zstandard
 
-    rows = bounded_sample(docs, id_col, DICTIONARY_TEXTS).select(F.substring(F.coalesce(text_col, F.lit("")), 1, LEAST).alias("t")).collect()
+    rows = bounded_sample(docs, id_col, DICTIONARY_TEXTS).select(F.substring(F.coalesce(text_col, F.lit("")), 1, DICTIONARY_CHARS).alias("t")).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [wav(payload(r.t)) for r in rows]).as_bytes()
     except zstandard.ZstdError:

@@ -53,6 +53,15 @@ def test_store_keeps_each_chunk_once(spark):
     assert stored == manifest.select("digest").distinct().count() < 0.5 * manifest.count()
 
 
+def test_passages_shared_by_documents_are_stored_once(spark):
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = prose(6_000)
+    docs = spark.createDataFrame([(n, prose(500 + 137 * n) + passage + prose(700)) for n in range(6)], "doc_id long, text string")
+    _, manifest, chunks, _ = media.store(docs)
+    assert chunks.count() < 0.6 * manifest.count()
+
+
 def test_damage_is_noticed():
     with pytest.raises(ValueError):
         media.samples(b"RIFFxxxxNOPE")
