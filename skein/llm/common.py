@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.sources.storage import drop_scratch, scratch, shared_dir
 
-__all__ = ["bounded_sample", "drop_scratch", "join_unique", "partitions", "rows_of", "scratch", "shared_dir", "table"]
+__all__ = ["bounded_sample", "drop_scratch", "join_unique", "partitions", "rows_of", "scratch", "shared_dir", "small", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,20 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(few, keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
 
 
+#: Rows of keys and digests (some tens of bytes each) up to which a table is broadcast.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A written table of short rows with a broadcast hint if it is counted to be small; else unchanged, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def text_key(text: Column) -> Column:
+    """A 16-byte digest of a text (null: empty), as its identity."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,12 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of word-shingle sets, through an index over set prefixes.
+"""Near-duplicates by the exact Jaccard similarity of word-shingle sets: an inverted index with count filtering.
 
 Shingle hashes are put in one global order.  Two sets of similarity s or more then share an element among the first
-n - ceil(s n) + 1 of each, so an index over these prefixes misses no pair, whatever the order; shingles that are frequent in a
-sample come last, as they would make hot postings.  Sizes and positions rule out most other pairs, again
-without loss, and every remaining candidate is verified by comparing the two whole sets.
+n - ceil(s n) + 1 of each, so an index over these prefixes misses no pair, whatever the order; shingles that stand in many
+prefixes come last, as they would make hot postings.  For each pair its shared prefix elements are tallied.  A pair needs
+ceil((m + n) s / (1 + s)) common elements, and those beyond the prefixes are at most the rest of a set, so the tally has a
+guaranteed minimum (:func:`least_shared`).  Pairs below it go; the rest are verified on the whole sets.  No link is lost.
 
-Equal sets are one node.  First each posting hands on only the pairs with its smallest node; what these link is one group.
-Then it hands on all pairs across groups, so no link is lost and a group of many near copies does not cost all its pairs.
+Equal sets are one node.  First each posting hands on only the pairs with its smallest node; what of that holds is a star.
+Then it hands on the pairs across stars, so no link is lost and a group of many near copies does not cost all its pairs.
+
+Texts are not shuffled: postings hold hashes, and only sets of nodes with a candidate are sent to be compared.
 
 Cases: all texts without words have the same empty set; a text with fewer words than a shingle is one shingle; null ids
 take no part in the smallest id of their group (all null: null); an empty table gives no rows; other columns are not read.
@@ -15,39 +18,47 @@ take no part in the smallest id of their group (all null: null); an empty table
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_sample, join_unique, partitions, rows_of, scratch
+from skein.llm.common import drop_scratch, join_unique, partitions, rows_of, scratch, small, text_key
 from skein.llm.components import components
 
 SEED = 42
-#: Texts from which frequent shingles are learnt, and the share of them that makes a shingle frequent.  Both only order the sets.
-SAMPLE, FREQUENT = 10_000, 0.001
-#: Rows of a posting that are compared with all its others at once.
-BLOCK_ROWS = 1024
+#: A shingle in the prefixes of more nodes than this comes late in the order, if it is among so many most frequent ones.  Both only order the sets.
+FREQUENT, MOST_FREQUENT = 100, 1 << 17
+#: Pairs that are held at once.
+PAIRS = 1 << 18
 #: Guards whole numbers against rounding; it can only add candidates.
 EPS = 1e-9
+PRIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(PRIMES[1])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(PRIMES[2])
+    return z ^ (z >> np.uint64(31))
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; words as for SimHash."""
+    """The sorted distinct 64-bit hashes of a text's shingles; words as for SimHash, hashed once each and mixed in order."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n]
-    last = ends[min(shingle, len(words)) - 1 :]
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n))
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    with np.errstate(over="ignore"):
+        out = np.full(n, k, np.uint64)
+        for j in range(k):
+            out = _mixed(out * np.uint64(PRIMES[0]) + h[j : j + n])
+    return np.unique(out)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,95 +67,144 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def prefix(ordered: np.ndarray, similarity: float) -> np.ndarray:
-    """The elements of which a set of at least this similarity must share one."""
-    return ordered[: len(ordered) - math.ceil(similarity * len(ordered) - EPS) + 1] if len(ordered) else ordered
+def prefix_length(n, similarity: float):
+    """How many first elements of a set of n must include one of any set of at least this similarity."""
+    n = np.asarray(n, np.int64)
+    return np.where(n > 0, n - np.ceil(similarity * n - EPS).astype(np.int64) + 1, 0)
+
 
+def least_shared(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """The fewest elements that the prefixes of similar sets of m and n elements share; above m or n if no such sets are similar.
+
+    All common elements up to the end of the prefix that ends first are in both prefixes; those after it are at most
+    what its set has left.
+    """
+    need = np.ceil((m + n) * (similarity / (1 + similarity)) - EPS).astype(np.int64)
+    rest = np.maximum(m - prefix_length(m, similarity), n - prefix_length(n, similarity))
+    return np.where(need > np.minimum(m, n), need + 1, np.maximum(1, need - rest))
 
-def frequent(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """Hashes of the shingles that many texts of a bounded sample have, sorted."""
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+def node_of(text: Column, shingle: int) -> Column:
+    """A digest of the text's set."""
+
+    @F.arrow_udf(T.BinaryType())
     def of(batch: pa.Array) -> pa.Array:
-        return pa.array([shingles(t, shingle).view(np.int64).tolist() for t in batch.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([_digest(shingles(t, shingle)) for t in batch.to_pylist()], pa.binary())
+
+    return of(text)
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def frequent(docs: DataFrame, text_col: str, shingle: int, similarity: float, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The (at most ``most``) shingles that stand in the prefixes of most texts, sorted; counted over all texts.
+
+    Prefixes are counted half as long again, as what stands behind moves up when frequent ones go.
+    """
 
-    few = bounded_sample(docs, id_col, SAMPLE).select(F.explode(of(F.col(text_col))).alias("h")).groupBy("h").count()
-    rows = few.where(F.col("count") > max(10, SAMPLE * FREQUENT)).orderBy(F.desc("count"), "h").limit(1 << 17).select("h").toArrow()
+    def of(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in rows_of(batch):
+                keys = []
+                for text in part.column(0).to_pylist():
+                    h = shingles(text, shingle)
+                    if (d := _digest(h)) not in seen:
+                        seen.add(d)
+                        keys.append(h[: int(1.5 * prefix_length(len(h), similarity))])
+                if len(seen) > 1 << 18:
+                    seen.clear()  # only saves repeats within a task
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(of, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def postings(nodes: DataFrame, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(key, node, size, pos) for the prefix of each of ``nodes`` (node, text); shingles in ``last`` are ordered last."""
+def postings(docs: DataFrame, text_col: str, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(key, node, size) for the prefix of each text's set; shingles in ``last`` are ordered last.  A node may come once from each task."""
 
     def of(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             for part in rows_of(batch):
-                keys, names, sizes, places = [], [], [], []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                keys, names, sizes = [], [], []
+                for text in part.column(0).to_pylist():
                     h = shingles(text, shingle)
-                    first = prefix(h[np.argsort(np.isin(h, last), kind="stable")], similarity)
-                    keys.append(first)
-                    names += [node] * len(first)
-                    sizes.append(np.full(len(first), len(h), np.int32))
-                    places.append(np.arange(len(first), dtype=np.int32))
+                    if (node := _digest(h)) in seen:
+                        continue
+                    seen.add(node)
+                    n = int(prefix_length(len(h), similarity))
+                    keys.append(h[np.argsort(np.isin(h, last), kind="stable")[:n]] if len(last) else h[:n])
+                    names += [node] * n
+                    sizes.append(np.full(n, len(h), np.int32))
+                if len(seen) > 1 << 18:
+                    seen.clear()
                 if names:
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "pos"])
+                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(sizes))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size"])
 
-    return nodes.select("node", "text").mapInArrow(of, "key long, node binary, size int, pos int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(of, "key long, node binary, size int")
 
 
-def candidates(index: DataFrame, similarity: float, grouped: bool) -> DataFrame:
-    """(u, v), each once: the pairs of postings that sizes and positions allow.
+def candidates(index: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """(u, v), u below v, each once: the pairs of the index whose tally reaches the guaranteed minimum.
 
-    With the smallest node only, or if ``grouped``, all pairs of nodes whose ``root`` differs.
+    Only pairs with a posting's smallest node count; or, ``across``, all pairs whose ``root`` differs.
     """
 
-    def pairs(size, pos, root, a: slice, b: slice):
-        m, n = size[a][:, None].astype(np.int64), size[b][None, :].astype(np.int64)
-        need = np.ceil((m + n) * (similarity / (1 + similarity)) - EPS)
-        ok = 1 + np.minimum(m - pos[a][:, None], n - pos[b][None, :]) - 1 >= need
-        if root is not None:
-            ok &= root[a][:, None] != root[b][None, :]
-        i, j = np.nonzero(ok)
-        i, j = i + a.start, j + b.start
-        return i[i < j], j[i < j]
-
     def emit(t: pa.Table):
-        key, size, pos = (t.column(c).to_numpy() for c in ("key", "size", "pos"))
         node = t.column("node").combine_chunks()
-        root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1] if grouped and len(key) else None
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        us, vs, held = [], [], 0
-        for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if end - start < 2:
-                continue
-            if not grouped:
-                steps = [(slice(start, start + 1), slice(at, min(end, at + BLOCK_ROWS))) for at in range(start, end, BLOCK_ROWS)]
-            else:
-                blocks = [slice(at, min(end, at + BLOCK_ROWS)) for at in range(start, end, BLOCK_ROWS)]
-                steps = ((a, b) for n, a in enumerate(blocks) for b in blocks[n:])
-            for a, b in steps:
-                i, j = pairs(size, pos, root, a, b)
-                us.append(i)
-                vs.append(j)
-                held += len(i)
-                if held > 1 << 17:
-                    yield of(node, us, vs)
-                    us, vs, held = [], [], 0
-        if held:
-            yield of(node, us, vs)
-
-    def of(node, us, vs):
-        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(x))) for x in (us, vs)], names=["u", "v"])
+        key, size = t.column("key").to_numpy(), t.column("size").to_numpy().astype(np.int64)
+        code = np.unique(np.array(node.to_pylist(), object), return_inverse=True)[1] if len(key) else np.zeros(0, np.int64)
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])])[: len(key)]  # copies from several tasks
+        at = np.flatnonzero(fresh)
+        key, size = key[at], size[at]
+        root = np.unique(np.array(t.column("root").take(pa.array(at)).to_pylist(), object), return_inverse=True)[1] if across and len(at) else None
+        held, count = [], 0
+
+        def pairs(i, j):
+            least = least_shared(size[i], size[j], similarity)
+            ok = least <= np.minimum(size[i], size[j])
+            if root is not None:
+                ok &= root[i] != root[j]
+            return i[ok], j[ok], least[ok]
+
+        def batch():
+            i, j, least = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([node.take(pa.array(at[i])), node.take(pa.array(at[j])), pa.array(least.astype(np.int32))], names=["u", "v", "least"])
+
+        if not across:
+            head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+            rest = np.flatnonzero(~head)
+            for k in range(0, len(rest), PAIRS):
+                held = [pairs(first[rest[k : k + PAIRS]], rest[k : k + PAIRS])]
+                if len(held[0][0]):
+                    yield batch()
+            return
+        live, step = np.arange(len(key)), 1
+        while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
+            for k in range(0, len(live), PAIRS):
+                held.append(pairs(live[k : k + PAIRS], live[k : k + PAIRS] + step))
+                count += len(held[-1][0])
+                if count >= PAIRS:
+                    yield batch()
+                    held, count = [], 0
+            step += 1
+        if count:
+            yield batch()
 
     def scan(batches):
         kept = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
+        for now in batches:
+            now = pa.Table.from_batches([now])
             kept = now if kept is None else pa.concat_tables([kept, now])
             key = kept.column("key")
-            if key[0] == key[-1]:
+            if key[0] == key[-1] or kept.num_rows < 1 << 16:
                 continue
             done = int(np.searchsorted(key.to_numpy(), key[-1].as_py()))
             yield from emit(kept.slice(0, done))
@@ -153,45 +213,69 @@ def candidates(index: DataFrame, similarity: float, grouped: bool) -> DataFrame:
             yield from emit(kept)
 
     dealt = index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(scan, "u binary, v binary").distinct()
+    tallied = dealt.mapInArrow(scan, "u binary, v binary, least int").groupBy("u", "v").agg(F.count("*").alias("n"), F.first("least").alias("least"))
+    return tallied.where(F.col("n") >= F.col("least")).select("u", "v")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (u, v) whose whole sets have the similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (u, v; a written table) whose whole sets have the similarity.  Only sets of nodes in ``pairs`` move."""
+
+    def sets(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in rows_of(batch):
+                out = {}
+                for text in part.column(0).to_pylist():
+                    h = shingles(text, shingle)
+                    if (d := _digest(h)) not in seen:
+                        seen.add(d)
+                        out[d] = h.tobytes()
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], names=["node", "set"])
 
     def check(batches):
-        name, mine = None, None
         for batch in batches:
             for part in rows_of(batch):
-                ok = []
+                name, mine, ok = None, None, []
                 for u, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if u != name:
-                        name, mine = u, shingles(a, shingle)
-                    ok.append(jaccard(mine, shingles(b, shingle)) >= similarity)
+                        name, mine = u, np.frombuffer(a, np.uint64)
+                    ok.append(jaccard(mine, np.frombuffer(b, np.uint64)) >= similarity)
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    text = lambda c: nodes.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
-    return pairs.join(text("u"), "u").join(text("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(check, "u binary, v binary")
+    wanted = scratch(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
+    every = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "node binary, set binary")
+    held = scratch(every.join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    of = lambda c: held.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    out = scratch(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u binary, v binary"), "verified")
+    drop_scratch(held)
+    return out
+
+
+def links(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v): true pairs of nodes that connect all that any true pair connects."""
+    index = scratch(postings(docs, text_col, shingle, similarity, frequent(docs, text_col, shingle, similarity)), "postings")
+    stars = verified(scratch(candidates(index, similarity, False), "candidates"), docs, text_col, shingle, similarity)
+    roots = scratch(stars.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")), "roots")
+    rooted = index.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = scratch(candidates(rooted, similarity, True), "candidates")
+    drop_scratch(index)
+    return stars.unionByName(verified(rest, docs, text_col, shingle, similarity))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, component_id and the columns ``keep`` of ``docs``) per row; pairs of at least the ``similarity`` are linked, ``component_id`` is the component's smallest id."""
+    """(doc_id, component_id, text_key, root and the columns ``keep`` of ``docs``) per row.
 
-    @F.arrow_udf(T.BinaryType())
-    def node(batch: pa.Array) -> pa.Array:
-        return pa.array([hashlib.blake2b(shingles(t, shingle).tobytes(), digest_size=16).digest() for t in batch.to_pylist()], pa.binary())
-
-    named = scratch(docs.select(F.col(id_col).alias("doc_id"), node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"), *keep), "named")
-    ids = named.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = scratch(named.select("node", "text").dropDuplicates(["node"]), "nodes")
-    index = scratch(postings(nodes, shingle, similarity, frequent(docs, id_col, text_col, shingle)), "postings")
-    stars = scratch(verified(candidates(index, similarity, False), nodes, shingle, similarity), "stars")
-    roots = scratch(components(stars), "roots")
-    rooted = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = verified(candidates(rooted, similarity, True), nodes, shingle, similarity)
-    found = components(scratch(stars.unionByName(rest), "pairs"))
+    Pairs of at least the ``similarity`` are linked; ``root`` names the component, ``component_id`` is its smallest id
+    and ``text_key`` a digest of the row's text.
+    """
+    named = scratch(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), node_of(F.col(text_col), shingle).alias("node"), *keep), "named")
+    ids = scratch(named.groupBy("node").agg(F.min("doc_id").alias("first_id")), "ids")
+    found = scratch(components(links(docs, text_col, shingle, similarity)), "roots")
     linked = scratch(found.join(ids, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = join_unique(linked, least, ["root"]).select("node", "component_id")
-    label = scratch(ids.join(labels, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
-    return join_unique(named.select("doc_id", "node", *keep), label, ["node"]).select("doc_id", "component_id", *keep)
+    labels = join_unique(linked, least, ["root"]).select("node", "root", "component_id")
+    label = ids.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_unique(named, scratch(label, "labels"), ["node"]).select("doc_id", "component_id", "text_key", "root", *keep)

@@ -15,7 +15,7 @@ components, and their number stays below the number of rows in the postings.
 
 With ``lanes`` above 1 the fingerprint has that many 64-bit lanes (the further ones
 hash each shingle anew).  Bits only estimate a similarity, so links then are those of
-the exact shingle sets (``shingles``), whatever ``max_bits`` and ``tables``.
+the exact shingle sets (``shingles``: the same index and count filter, over shingles), whatever ``max_bits``.
 
 Cases: a null or word-less text has fingerprint zero and links like any other; a text
 with fewer words than a shingle is one shingle; repeated rows give a row each; a null
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import shingles
-from skein.llm.common import join_unique, partitions, scratch
+from skein.llm.common import join_unique, partitions, scratch, small, text_key
 from skein.llm.components import components
 
 SEED = 42
@@ -87,14 +87,14 @@ def lane_names(lanes: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, one long per lane) for every row."""
+    """(doc_id, text_key, one long per lane) for every row."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(batch: pa.Array) -> pa.Array:
         return pa.array([simhash(t, shingle, lanes) for t in batch.to_pylist()], pa.list_(pa.int64()))
 
-    hashed = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("_f"))
-    return hashed.select("doc_id", *[F.col("_f")[k].alias(name) for k, name in enumerate(lane_names(lanes))])
+    hashed = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), of(F.col(text_col)).alias("_f"))
+    return hashed.select("doc_id", "text_key", *[F.col("_f")[k].alias(name) for k, name in enumerate(lane_names(lanes))])
 
 
 def hex_of(text: Column, shingle: int, lanes: int) -> Column:
@@ -111,42 +111,27 @@ def hex_fingerprint(lanes: int):
     return F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in lane_names(lanes)])
 
 
-def position_sets(lanes: int, tables: int) -> list[tuple[int, ...]]:
-    """The positions of each kind of posting: S(3,4,8) for one lane, else fixed triples spread over all bytes."""
-    if lanes == 1:
-        return BLOCKS
-    rng = np.random.default_rng(SEED)
-    out: list[tuple[int, ...]] = []
-    while len(out) < tables:
-        order = rng.permutation(8 * lanes)
-        out += [tuple(sorted(map(int, order[i : i + 3]))) for i in range(0, 8 * lanes - 2, 3)]
-    return out[:tables]
-
-
-def postings(classes: DataFrame, lanes: int, tables: int) -> DataFrame:
-    """(key, lanes): the inverted index, a row for each fingerprint and set of positions."""
+def postings(classes: DataFrame) -> DataFrame:
+    """(_key, _lane0): the inverted index, a row for each fingerprint and block of positions."""
 
     def key(which: int, positions: tuple[int, ...]):
         total = F.lit(which).cast("long")
         for p in positions:
-            byte = F.shiftrightunsigned(F.col(f"_lane{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("long"))
+            byte = F.shiftrightunsigned(F.col("_lane0"), 8 * p).bitwiseAND(F.lit(255).cast("long"))
             total = F.shiftleft(total, 8).bitwiseOR(byte)
         return total
 
-    keys = F.array(*[key(i, p) for i, p in enumerate(position_sets(lanes, tables))])
-    return classes.select(F.explode(keys).alias("_key"), *lane_names(lanes))
+    return classes.select(F.explode(F.array(*[key(i, p) for i, p in enumerate(BLOCKS)])).alias("_key"), "_lane0")
 
 
-def links(index: DataFrame, lanes: int, max_bits: int) -> DataFrame:
-    """(u, v): for each posting a spanning forest of its pairs within ``max_bits``; nodes are lanes or, if several, hex strings."""
-    least_bytes = max(1, 8 * lanes - max_bits)  # a differing bit spoils one byte at most
+def links(index: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v): for each posting a spanning forest of its pairs within ``max_bits``."""
+    least_bytes = max(1, 8 - max_bits)  # a differing bit spoils one byte at most
 
     def scan(batches):
-        keep_key, keep = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64)
+        keep_key, keep = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            f = np.stack([batch.column(1 + i).to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
-            keep_key, keep = np.concatenate([keep_key, k]), np.concatenate([keep, f])
+            keep_key, keep = np.concatenate([keep_key, batch.column(0).to_numpy()]), np.concatenate([keep, batch.column(1).to_numpy().view(np.uint64)])
             if keep_key[0] == keep_key[-1]:
                 continue
             done = int(np.searchsorted(keep_key, keep_key[-1]))
@@ -156,10 +141,9 @@ def links(index: DataFrame, lanes: int, max_bits: int) -> DataFrame:
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs (one of a against all of b, or element by element) hold: count filter, then bits."""
-        x = a ^ b
-        shared = (np.ascontiguousarray(x).view(np.uint8) == 0).sum(axis=-1, dtype=np.int32)
-        ok = shared >= least_bytes if lanes == 1 else shared >= 3
-        ok[ok] = np.bitwise_count(x[ok]).sum(axis=-1, dtype=np.int32) <= max_bits
+        x = np.ascontiguousarray(a ^ b)
+        ok = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1, dtype=np.int32) >= least_bytes
+        ok[ok] = np.bitwise_count(x[ok]) <= max_bits
         return ok
 
     def forest(f: np.ndarray):
@@ -196,16 +180,10 @@ def links(index: DataFrame, lanes: int, max_bits: int) -> DataFrame:
                 vs.append(run[c])
         u, v = np.concatenate(us), np.concatenate(vs)
         if len(u):
-            yield pa.RecordBatch.from_arrays([named(u), named(v)], names=["u", "v"])
-
-    def named(x: np.ndarray) -> pa.Array:
-        if lanes == 1:
-            return pa.array(x[:, 0].view(np.int64))
-        return pa.array(["".join(f"{y:016x}" for y in row) for row in x.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    kind = "long" if lanes == 1 else "string"
     dealt = index.repartition(partitions(index.sparkSession), "_key").sortWithinPartitions("_key")
-    return dealt.mapInArrow(scan, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(scan, "u long, v long")
 
 
 def bits_at(similarity: float, lanes: int) -> int:
@@ -214,36 +192,42 @@ def bits_at(similarity: float, lanes: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, tables: int = 160, similarity: float = 0.8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, lanes: int = 1, similarity: float = 0.8,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row; ``component_id`` is the smallest id in the row's component.
+    """(doc_id, fingerprint, component_id, text_key, root) per row.
 
+    ``component_id`` is the smallest id in the row's component, ``root`` names the component and ``text_key`` the text.
     One lane links up to ``max_bits`` differing bits, more lanes link the exact ``similarity`` of shingle sets or more.
     """
     if lanes > 1:
         printed = docs.select(id_col, text_col).withColumn("fingerprint", hex_of(F.col(text_col), shingle, lanes))
-        return shingles.near_duplicates(printed, id_col, text_col, shingle, similarity, keep=("fingerprint",)).select("doc_id", "fingerprint", "component_id")
-    if lanes == 1 and max_bits > MAX_BITS:
+        return shingles.near_duplicates(printed, id_col, text_col, shingle, similarity, keep=("fingerprint",)).select("doc_id", "fingerprint", "component_id", "text_key", "root")
+    if max_bits > MAX_BITS:
         raise ValueError("one lane guarantees five shared bytes up to three differing bits only; take more lanes")
-    names = lane_names(lanes)
-    prints = scratch(fingerprints(docs, id_col, text_col, shingle, lanes), "fingerprints")
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
-    node = F.col("_lane0") if lanes == 1 else hex_fingerprint(lanes)
-    found = components(links(postings(classes, lanes, tables), lanes, max_bits))
-    linked = scratch(found.join(classes.select(node.alias("node"), "first_id", *names), "node"), "linked")
+    prints = scratch(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = scratch(prints.groupBy("_lane0").agg(F.min("doc_id").alias("first_id")), "classes")
+    found = components(links(postings(classes), max_bits))
+    linked = scratch(found.join(classes.withColumnRenamed("_lane0", "node"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = join_unique(linked, least, ["root"]).select(*names, "component_id")
-    label = scratch(classes.join(labels, names, "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id")), "labels")
-    return join_unique(prints, label, names).select("doc_id", hex_fingerprint(lanes).alias("fingerprint"), "component_id")
+    labels = join_unique(linked, least, ["root"]).select(F.col("node").alias("_lane0"), "root", "component_id")
+    label = classes.join(labels, "_lane0", "left").select("_lane0", F.coalesce("root", "_lane0").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_unique(prints, scratch(label, "labels"), ["_lane0"]).select("doc_id", hex_fingerprint(1).alias("fingerprint"), "component_id", "text_key", "root")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one with the smallest id.
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``groups``: that with the smallest id, of equal ids that with the smallest digest of its text.
 
-    Rows that repeat an id count once.  Rows without an id cannot be named and stay.
-    The join leaves rows sorted by id, so dropping repeats needs no shuffle or sort of its own.
+    Rows of different components stay even if they share an id; of rows that agree in id and text one stays.  Rows without an
+    id cannot be named and stay.  Only rows that some other row stands for are looked up: by broadcast while they are
+    few, else by a join on the row's key; all others pass without a shuffle.
     """
-    drop = groups.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(drop, named[id_col] == drop["_drop"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = scratch(groups.where("doc_id is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("_n")), "keyed")
+    best = keyed.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("_best"), F.count("*").alias("_k"), F.max("_n").alias("_m"))
+    best = scratch(best.where("_k > 1 or _m > 1").select("root", "_best"), "best")
+    marked = join_unique(keyed, best, ["root"]).withColumn("_first", F.struct("doc_id", "text_key") == F.col("_best"))
+    marked = scratch(marked.where("not _first or _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_first"), "marked")
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    rows = docs.select(row, F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    rest = rows.join(small(marked.select("_id", "_key")), ["_id", "_key"], "left_anti").select("_row")
+    repeated = rows.join(small(marked.where("_first").select("_id", "_key")), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_row")
+    return rest.unionByName(repeated).select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

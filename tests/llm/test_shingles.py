@@ -3,8 +3,11 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from skein.llm import shingles
+from skein.llm import shingles, simhash
 
 
 def grams(text, k=5):
@@ -48,8 +51,10 @@ def corpus():
     return list(enumerate([*map(" ".join, texts), "", None, "a b", "A  b", "a b c"]))
 
 
-def test_links_are_those_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "BLOCK_ROWS", 7)
+@pytest.mark.parametrize("least", [shingles.FREQUENT, 3])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, least):
+    monkeypatch.setattr(shingles, "PAIRS", 50)
+    monkeypatch.setattr(shingles.frequent, "__defaults__", (least, 200))
     rows = corpus()
     want, pairs = brute_groups(rows)
     assert sum(0.8 <= s < 0.86 for s in pairs.values()) > 20 and sum(0.7 < s < 0.8 for s in pairs.values()) > 20
@@ -63,3 +68,41 @@ def test_dedup_stage_keeps_distinct_texts(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_fewest_shared_prefix_elements():
+    """The guaranteed minimum, against sets whose common elements come as late as they can."""
+    r = random.Random(8)
+    for _ in range(3000):
+        m, n = r.randrange(1, 60), r.randrange(1, 60)
+        both = r.randrange(0, min(m, n) + 1)
+        if both / (m + n - both) < 0.8:
+            continue
+        keys = r.sample(range(10**6), m + n - both)
+        late = sorted(keys)[-both:] if r.random() < 0.5 else r.sample(keys, both)
+        other = [k for k in keys if k not in set(late)]
+        a, b = sorted(late + other[: m - both]), sorted(late + other[m - both :])
+        shared = set(a[: int(shingles.prefix_length(m, 0.8))]) & set(b[: int(shingles.prefix_length(n, 0.8))])
+        assert len(shared) >= shingles.least_shared(np.array([m]), np.array([n]), 0.8)[0] >= 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids with other texts, ties, null ids, repeated rows: against a plain loop."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "red green blue white black grey"
+    rows = [(5, a, 1), (5, b, 2), (2, b, 3), (7, a, 4), (7, c, 5), (7, c, 6), (7, c, 6), (None, a, 7), (None, "alone", 8), (9, "", 9), (9, None, 10), (11, " ", 11), (12, "alone", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int").repartition(3)
+    for groups in (shingles.near_duplicates(docs), simhash.near_duplicates(docs)):
+        kept = simhash.keep_one(docs, groups)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=repr)
+        assert got == sorted([(5, a), (2, b), (7, c), (0, a), (0, "alone"), (9, ""), (12, "alone")], key=repr)
+
+
+def test_recall_by_band(spark):
+    """Found pairs of a table against all pairs, in each band of similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    label, pairs = brute_groups(rows)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+    assert got == label
+    assert any(0.8 <= s < 1 for s in pairs.values())

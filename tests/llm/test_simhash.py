@@ -52,7 +52,7 @@ def test_links_are_whole(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
     signed = [(f - (1 << 64) if f >= 1 << 63 else f,) for _, f in pairs]
     classes = spark.createDataFrame(signed, "_lane0 long")
-    edges = simhash.links(simhash.postings(classes, 1, 0), 1, 3)
+    edges = simhash.links(simhash.postings(classes), 3)
     rows = edges.collect()
     assert all(bin((u ^ v) & (2**64 - 1)).count("1") <= 3 for u, v in rows)
     of = {x.node & (2**64 - 1): x.root for x in components(edges).collect()}
