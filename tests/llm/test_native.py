@@ -79,6 +79,17 @@ def test_mix_edges(spark, edge, edge_rows, no_rows, tmp_path):
     assert mixing.mixed(edge).columns == edge.columns
 
 
+@pytest.mark.parametrize(("n", "words"), [(200, 10), (300, 5), (100, 5), (100, 1), (1, 10)])
+def test_small_sources_beside_a_large_one_meet_their_targets(spark, monkeypatch, n, words):
+    """Many shards for the small source too; its target is three times its size."""
+    monkeypatch.setattr(mixing, "SHARD_BITS", 4)
+    rows = [(i, "w " * words, "z") for i in range(n)] + [(10_000 + i, "big " * 700, "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).where("doc_id < 10000").groupBy("source_size", "target").sum("taken").first()
+    assert out.source_size == n * words and out.target == 3 * n * words and out["sum(taken)"] == out.target
+    assert mixing.mixed(docs).where("doc_id < 10000").count() == 3 * n
+
+
 def check_shards(rows, shards):
     slots = collections.defaultdict(list)
     for r in rows:
