@@ -4,12 +4,17 @@ The page becomes a light tree (unclosed and misnested tags are tolerated).  Menu
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are cut by element,
 role and class or id words.  Each block with text of its own then passes points, one plus its commas plus
 up to three for its length, to its ancestors (all to the parent, less with distance); an
-element's score is its points times the part of its text that is not in links.  The best container is
-kept, widened to the article or main element around it, with those siblings that score near it or head
-it.  Its blocks are the result, in page order.
+element's score is its points times the part of its text that is not in links.  An article or main element has
+``PRIOR`` times its points, as its author says where the text is.  The best container is
+kept, with those siblings that score near it or head it.  Its blocks are the result, in page order.
+
+The scanner reads each character a bounded number of times whatever the markup (unclosed quotes, comments,
+tags and references included), open elements are found by their depth, and points reach ``REACH`` ancestors.
 
 Character references are decoded, white space inside a block (line breaks included) becomes one space,
-blocks are trimmed and joined by one newline; nothing else is dropped or cut.
+blocks are trimmed and joined by one newline; nothing else is dropped or cut.  A form is not cut if it
+holds an article or a run of paragraphs.  A list of links without a mark of a menu is dropped only where
+no container but the body was found.
 
 Cases: a null or empty page gives an empty text; a page without markup is one block; ties go to the
 outer element; very deep or long pages need no recursion; null ids and urls stay null; repeated rows
@@ -19,6 +24,7 @@ give a row each; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import rows_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s+[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?|\s*/)*)\s*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+GAP, NAME, EQUALS, BARE, NAME_END = re.compile(r"[\s/]*"), re.compile(r"[^\s=>/]+"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*"), re.compile(r"[\s/>]")
+LONG_REFERENCE = re.compile(r"&#0*([0-9]{8,});?")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 SPACE = re.compile(r"\s+")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -60,80 +67,171 @@ CLOSES = {
 FENCES = {"table", "td", "th", "article", "section", "div", "body", "html", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "blockquote", "figure", "button", "object"}
 
 
+#: Points of an article or main element count this often: more than what a container three levels below it can be nearer.
+PRIOR = 5
+#: Ancestors that a block's points reach.
+REACH = 16
+#: Paragraphs in a form that make it part of the text.
+RUN = 3
+
+
 class Node:
-    __slots__ = ("attrs", "children", "cut", "letters", "linked", "links", "parent", "points", "tag")
+    __slots__ = ("attrs", "children", "cut", "holds", "letters", "linked", "links", "parent", "points", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.points, self.letters, self.linked, self.links, self.cut = 0.0, 0, 0, 0, False
+        self.points, self.letters, self.linked, self.links, self.cut, self.holds = 0.0, 0, 0, 0, False, 0
+
+
+class Scanner:
+    """Finds where tags end.  Reading on past an unclosed quote or tag is paid from a budget that grows with the page only."""
+
+    def __init__(self, page: str):
+        self.page, self.end = page, len(page)
+        self.budget = len(page) + 10_000
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Like ``str.find``, but what was once not found is not looked for again."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The position of the > that closes a tag, from the end of its name on; outside of quotes if those close; -1 if there is none."""
+        first = self.find(">", at)
+        if first < 0 or self.budget < 0:
+            return first
+        page, start = self.page, at
+        while True:
+            at = GAP.match(page, at).end()
+            if at >= self.end:
+                break
+            if page[at] == ">":
+                return at
+            if page[at] == "=":
+                at += 1
+                continue
+            at = NAME.match(page, at).end()
+            is_ = EQUALS.match(page, at)
+            if not is_:
+                continue
+            at = is_.end()
+            if page[at : at + 1] in ('"', "'") and at < self.end:
+                shut = self.find(page[at], at + 1)
+                if shut < 0:
+                    break
+                at = shut + 1
+            else:
+                at = BARE.match(page, at).end()
+        self.budget -= at - start
+        return first
+
+
+def decoded(text: str) -> str:
+    """``text`` without character references; numbers beyond all characters become U+FFFD."""
+    if "&" not in text:
+        return text
+    return unescape(LONG_REFERENCE.sub("\ufffd", text))
 
 
 def parse(page: str) -> Node:
-    root = node = Node("#root", "", None)
-    at, end = 0, len(page)
+    root = Node("#root", "", None)
+    stack, places, fences = [root], {}, [0]  # open elements, their depths by tag, the depths of fences
+    scan, at, end = Scanner(page), 0, len(page)
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            gone = stack.pop()
+            places[gone.tag].pop()
+            if gone.tag in FENCES:
+                fences.pop()
+            if gone.tag == "form" and places["form"]:
+                stack[places["form"][-1]].holds += gone.holds
+
+    def close(tags: set[str], fence: set[str]) -> None:
+        """Close the outermost open element of ``tags`` that no fence hides."""
+        least = fences[-1] if fence is FENCES else max((places[t][-1] for t in fence if places.get(t)), default=0)
+        if least and stack[least].tag in tags:
+            close_to(least)
+            return
+        found = [p[bisect_right(p, least)] for t in tags if (p := places.get(t)) and p[-1] > least]
+        if found:
+            close_to(min(found))
+
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            node.children.append(unescape(page[at:]))
+        start = scan.find("<", at)
+        if start < 0:
+            stack[-1].children.append(decoded(page[at:]))
             break
-        if m.start() > at:
-            node.children.append(unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:-3])
+        if start > at:
+            stack[-1].children.append(decoded(page[at:start]))
+        at = start
+        ending = page.startswith("/", at + 1)
+        letter = page[at + 1 + ending : at + 2 + ending]
+        if page.startswith("<!--", at):
+            shut = scan.find("-->", at + 4)
+            at = shut + 3 if shut >= 0 else end
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            up = node
-            while up is not root and up.tag != tag and not (tag in INLINE and up.tag in FENCES):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                node = up.parent
+        if page.startswith("<![CDATA[", at) and (shut := scan.find("]]>", at)) >= 0:
+            stack[-1].children.append(page[at + 9 : shut])
+            at = shut + 3
+            continue
+        if letter in ("!", "?") and not ending and (shut := scan.find(">", at)) >= 0:
+            at = shut + 1
+            continue
+        if not (letter.isascii() and letter.isalpha()) or scan.find(">", at) < 0:
+            stack[-1].children.append("<")
+            at += 1
+            continue
+        name_end = NAME_END.search(page, at + 1 + ending).start()  # there is a > ahead
+        tag, shut = page[at + 1 + ending : name_end].lower(), scan.tag_end(name_end)
+        attrs, at = page[name_end:shut], shut + 1
+        if ending:
+            open_ = places.get(tag)
+            if open_ and (tag not in INLINE or open_[-1] > fences[-1]):
+                close_to(open_[-1])
             elif tag == "p":
-                node.children.append(Node("p", "", node))
+                stack[-1].children.append(Node("p", "", stack[-1]))
             continue
-        attrs = m[3] or m[6] or ""
-        shut, fence = CLOSES.get(tag, (set(), set()))
+        shut_by, fence = CLOSES.get(tag, (None, None))
         if tag not in INLINE:
-            node = _close(node, root, {"p"}, FENCES)
+            close({"p"}, FENCES)
         if tag in HEADINGS:
-            node = _close(node, root, HEADINGS, FENCES)
-        if shut:
-            node = _close(node, root, shut, fence)
+            close(HEADINGS, FENCES)
+        if shut_by:
+            close(shut_by, fence)
         if tag == "a":
-            node = _close(node, root, {"a"}, FENCES)
-        child = Node(tag, attrs, node)
-        node.children.append(child)
+            close({"a"}, FENCES)
+        child = Node(tag, attrs, stack[-1])
+        stack[-1].children.append(child)
+        if (tag == "p" or tag in ARTICLE) and places.get("form"):
+            stack[places["form"][-1]].holds += 1 if tag == "p" else RUN
         if tag in VOID or attrs.rstrip().endswith("/") and tag in ("svg", "path", "circle"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if not close and tag in ("title", "textarea"):  # never closed: only the rest of the line is lost
-                at = page.find("<", at) if page.find("<", at) >= 0 else end
+            shut = None if f"</{tag}" in scan.gone else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not shut:
+                scan.gone.add(f"</{tag}")
+            if not shut and tag in ("title", "textarea"):  # never closed: only the rest of the line is lost
+                at = start if (start := scan.find("<", at)) >= 0 else end
             else:
-                at = close.end() if close else end
+                at = shut.end() if shut else end
             continue
-        node = child
+        places.setdefault(tag, []).append(len(stack))
+        if tag in FENCES:
+            fences.append(len(stack))
+        stack.append(child)
+    close_to(1)
     return root
 
 
-def _close(node: Node, root: Node, tags: set[str], fence: set[str]) -> Node:
-    """The current node after closing the outermost open element of ``tags`` that no fence hides."""
-    up, found = node, None
-    while up is not root and up.tag not in fence:
-        if up.tag in tags:
-            found = up
-        up = up.parent
-    if up is not root and up.tag in tags:
-        found = up
-    return found.parent if found else node
-
-
 def _is_cut(node: Node, in_article: bool) -> bool:
     if node.tag in CUT:
-        return True
+        return node.tag != "form" or node.holds < RUN
     if node.tag == "header" and not in_article:
         return True
     if not node.attrs.strip():
@@ -186,7 +284,7 @@ def measure(root: Node) -> list[Node]:
         density = node.linked / node.letters if node.letters else 0
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(density, 1))
         up, far = node if node.tag not in ("p", "li", "td", "pre", "blockquote", *HEADINGS) else node.parent, 1
-        while up is not None and up.parent is not None:
+        while up is not None and up.parent is not None and far <= REACH:
             up.points += points / (1 if far == 1 else 2 * (far - 1))
             up, far = up.parent, far + 1
     return live
@@ -205,22 +303,15 @@ def _own_text(node: Node) -> str:
 
 
 def choose(root: Node, live: list[Node]) -> list[Node]:
-    """The best container, widened to its article, and the siblings that belong to it."""
+    """The best container and the siblings that belong to it."""
 
     def score(n: Node) -> float:
-        return n.points * (1 - (n.linked / n.letters if n.letters else 0))
+        return n.points * (1 - (n.linked / n.letters if n.letters else 0)) * (PRIOR if n.tag in ARTICLE else 1)
 
     scored = [n for n in live if n.points > 0 and n.tag not in INLINE]
     if not scored:
         return [root]
     best = max(scored, key=score)  # the first, so the outer, of equals
-    up = best
-    while up.parent is not None:
-        if up.tag in ARTICLE:
-            best = up
-            if up.tag == "article":
-                break
-        up = up.parent
     top = score(best)
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
@@ -243,6 +334,7 @@ def choose(root: Node, live: list[Node]) -> list[Node]:
 def blocks(containers: list[Node]) -> list[str]:
     """The texts of all blocks, in page order."""
     out, run = [], []
+    whole = len(containers) == 1 and containers[0].tag in ("#root", "html", "body")
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(run)).strip()
@@ -263,7 +355,7 @@ def blocks(containers: list[Node]) -> list[str]:
             run.append(" ")
         elif x.tag in INLINE:
             stack.extend(reversed(x.children))
-        elif x.tag in ("ul", "ol", "div", "table", "section") and x.links >= 3 and x.linked >= 0.9 * x.letters:
+        elif whole and x.tag in ("ul", "ol", "div", "table", "section") and x.links >= 3 and x.linked >= 0.9 * x.letters:
             flush()  # a menu by its looks
         else:
             stack.append(None)

@@ -1,12 +1,15 @@
 """Toxicity, repetition rules, HTML and quality."""
 
 import collections
+import time
 import math
 import random
 import zlib
 
 import numpy as np
 
+import pytest
+
 from skein.llm import html, quality, repetition, toxicity
 from skein.llm.common import table
 
@@ -160,3 +163,37 @@ def test_quality_edges(spark, edge, edge_rows, no_rows):
         assert len(scores) == len(edge_rows) and all(0 <= s <= 1 for s in scores)
     assert quality.keep(no_rows, full).count() == 0 and quality.keep(edge, full, threshold=0.0).columns == edge.columns
     assert np.isfinite(quality.statistics([None, "", " ", "x" * 100_000, "é\n\n"])).all()
+
+
+HOSTILE = {
+    "open tags": lambda n: "<a" * (n // 2), "attributes": lambda n: "<a " + "x=1/ " * (n // 5) + '"', "sections": lambda n: "<![CDATA[" * (n // 9), "nested": lambda n: "<div>" * (n // 5) + "text here, and more",
+    "inline": lambda n: "<p>" + "<b>" * (n // 3) + "text", "quotes": lambda n: '<a x="y>" ' * (n // 10), "odd quotes": lambda n: '<a p="<b" ' * (n // 10) + "q='", "titles": lambda n: "<title>x" * (n // 8),
+    "items": lambda n: "<li><ul>" + "<div>" * (n // 10) + "<li>x</li>" * (n // 20), "ends": lambda n: "<div>" * (n // 10) + "</x>" * (n // 8), "reference": lambda n: "&#" + "9" * n + ";", "comments": lambda n: "<!--" * (n // 4),
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_time_is_linear_in_a_page(kind):
+    began = time.process_time()
+    html.main_text(HOSTILE[kind](1 << 20))
+    assert time.process_time() - began < 8  # a square would take hours
+
+
+#: Pages and the blocks a reader would call the article.
+LABELLED = [
+    ("<body><form action='/'><div class='menu'><a href=1>Home</a></div><div><p>One, two, three.</p><p>Four, five and six.</p><p>Seven, eight, nine.</p></div><input></form></body>", ["One, two, three.", "Four, five and six.", "Seven, eight, nine."]),
+    ("<article><h1>Sources</h1><p>All of them, in order of age.</p><ul><li><a href=1>First book</a></li><li><a href=2>Second book</a></li><li><a href=3>Third book</a></li></ul></article>", ["Sources", "All of them, in order of age.", "First book", "Second book", "Third book"]),
+    ("<div id=nav><ul><li><a href=1>News</a><li><a href=2>Sport</a></ul></div><main><article><div><div><div><p>Deep in here, far from the top.</p><p>And once more, to be sure.</p></div></div></div></article></main><div class=comments><p>First, haha, what a read, friends.</p></div>", ["Deep in here, far from the top.", "And once more, to be sure."]),
+    ("<p title='a > b'>Quoted &gt; sign, &amp; more.</p><p class=\"x>Lost quote, text goes on.</p>", ["Quoted > sign, & more.", "Lost quote, text goes on."]),
+    ("<body><div><a href=1>Top</a> <a href=2>List</a> <a href=3>About</a></div><p>Plain page, no container at all.</p></body>", ["Plain page, no container at all."]),
+    ("<article><p>Before, the text.</p><div class='advert'>Buy now, cheap</div><aside>See also</aside><form><label>Mail</label><input></form><p>After, the text.</p><footer>Contact</footer></article>", ["Before, the text.", "After, the text."]),
+]
+
+
+def test_labelled_pages_word_by_word():
+    hit = found = wanted = 0
+    for page, blocks in LABELLED:
+        got, want = (collections.Counter(x.split()) for x in (html.main_text(page), "\n".join(blocks)))
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+        assert html.main_text(page) == "\n".join(blocks)
+    assert hit / found == hit / wanted == 1
