@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from skein.llm.common import scratch
+from skein.llm.common import partitions, scratch
 
 SHARDS = 16
 VNODES = 128
@@ -33,6 +33,8 @@ CELLS = 1 << 14
 SLACK = 0.001
 #: A group of equal texts is dealt in blocks of this part of a shard's capacity.
 BLOCK = 16
+#: Rows that one task makes from the count of rows that agree in id and text.
+COPIES = 1 << 16
 
 
 def ring(shards: int, vnodes: int = VNODES, cells: int = CELLS) -> tuple[list[int], list[int]]:
@@ -91,9 +93,14 @@ def shard(
     limit = max(1, int(total / shards / BLOCK))
     # every such group holds more than a (shards * BLOCK)th of all bytes, so there are fewer than shards * BLOCK of them
     large = groups.where(F.col("_bytes") > limit).select("_group", F.ceil(F.col("_bytes") / limit).alias("_parts"))
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_parts")), F.lit(0))
-    arc = F.shiftrightunsigned(F.xxhash64("_group", salt), 64 - (cells.bit_length() - 1)).cast("int")
-    keyed = base.join(F.broadcast(large), "_group", "left").select("doc_id", "size", "text_crc32", arc.alias("_arc"))
+    hot = base.join(F.broadcast(large), "_group").groupBy("doc_id", "size", "text_crc32", "_group", "_parts").agg(F.count("*").alias("_n"))
+    pieces = hot.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}")))).repartition(partitions(spark), "_group", "doc_id", "_piece")
+    copies = pieces.withColumn("_copy", F.explode(F.expr(f"sequence(_piece * {COPIES}, least(_n, (_piece + 1) * {COPIES}) - 1)")))
+    bits = 64 - (cells.bit_length() - 1)
+    spread = F.shiftrightunsigned(F.xxhash64("_group", F.pmod(F.xxhash64("doc_id", "_copy"), F.col("_parts"))), bits)
+    whole = F.shiftrightunsigned(F.xxhash64("_group", F.lit(0).cast("long")), bits)
+    columns = ["doc_id", "size", "text_crc32"]
+    keyed = base.join(F.broadcast(large), "_group", "left_anti").select(*columns, whole.cast("int").alias("_arc")).unionByName(copies.select(*columns, spread.cast("int").alias("_arc")))
     found = keyed.groupBy("_arc").agg(F.sum("size").alias("load"), F.count("*").alias("n")).collect()  # at most `cells` rows
     placed = place({r._arc: r.load for r in found}, shards, vnodes, cells, slack)
     plan = _plan(spark, {r._arc: r.n for r in found}, placed, cells)

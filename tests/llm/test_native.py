@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import zlib
 
 import duckdb
@@ -122,12 +123,39 @@ def test_growing_moves_little():
     assert 1 / 17 <= moved < 0.25
 
 
-def test_ring_overflow_goes_clockwise():
-    arcs, owners = sharding.ring(4, 8, 64)
-    loads = {arc: 10 for arc in range(64)}
-    placed = sharding.place(loads, 4, 8, 64, 0.05)
-    held = collections.Counter(placed.values())
-    assert max(held.values()) <= 64 / 4 * 1.05 and arcs == sorted(arcs) and set(owners) == set(range(4))
+@pytest.mark.parametrize("seed", range(6))
+def test_ring_overflow_goes_clockwise(seed):
+    """Against a walk over every arc: clockwise to the next virtual node whose shard has room, else to the emptiest shard."""
+    r = random.Random(seed)
+    shards, vnodes, cells, slack = r.randint(2, 6), r.randint(1, 8), 64, r.choice((0.0, 0.05, 0.5))
+    loads = {arc: r.choice((1, 7, 10, 60)) for arc in r.sample(range(cells), r.randint(1, 64))}
+    arcs, owners = sharding.ring(shards, vnodes, cells)
+    at = collections.defaultdict(list)
+    for arc, owner in zip(arcs, owners, strict=True):
+        at[arc].append(owner)
+    capacity, held, want = sum(loads.values()) / shards * (1 + slack), [0] * shards, {}
+    for arc in sorted(loads, key=lambda a: (-loads[a].bit_length(), a)):
+        clockwise = [s for step in range(cells) for s in at[(arc + step) % cells]]
+        with_room = [s for s in clockwise if held[s] + loads[arc] <= capacity]
+        want[arc] = with_room[0] if with_room else min(dict.fromkeys(clockwise), key=lambda s: held[s])
+        held[want[arc]] += loads[arc]
+    assert sharding.place(loads, shards, vnodes, cells, slack) == want
+
+
+def test_bytes_law_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = [(None, "no id at all, a copy")] * 3000 + [(7, "one id, many copies")] * 2000 + [(n, f"small row {n}") for n in range(4000)] + [(n, "ids of their own") for n in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shard(docs).collect()
+    check_shards(out, 16)
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == collections.Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    load = collections.Counter()
+    for r in out:
+        load[r.shard] += r["size"]
+    mean = sum(load.values()) / 16
+    assert max(load.values()) <= 1.02 * mean and min(load.values()) >= 0.95 * mean
+    key = lambda r: (r.doc_id or 0, r["size"], r.shard, r.slot)
+    assert sorted(map(key, out)) == sorted(map(key, sharding.shard(docs.repartition(3)).collect()))
 
 
 def test_shard_edges(edge, edge_rows, no_rows):
