@@ -53,7 +53,7 @@ def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "index_pos"]
     return warc.archive(table(spark, sf_dir, "pages")).select(columns)
 
 

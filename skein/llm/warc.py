@@ -6,8 +6,10 @@ only).  A task fills archives of bounded size; each comes with its captures sort
 time and id: a local run.  An archive is a row of a table in shared storage (name, bytes, run), since
 executors share files only through Spark's writers; its bytes are a valid ``.warc.gz`` file.
 
-Index: the runs are cut into key ranges by Spark (a range exchange, so one hot URL spans tasks); each
-range's pieces of runs are merged by a loser tree.  The result is ordered over all archives.
+Index: the runs are cut into key ranges of about ``RANGE_ROWS`` captures by Spark (a range exchange over the whole
+key, so one hot URL spans ranges), which hands each range its pieces run by run, sorted outside of memory.  A loser tree
+merges up to ``FAN_IN`` pieces at a time, in as many passes as there are pieces for.  Ranges are written and counted, so
+``index_pos`` is the gapless rank of a capture over all archives.
 
 Reading: archives are parsed record by record; a response's payload is hashed anew and checked
 against its header.  Rows meet the merged index by archive and offset.
@@ -28,13 +30,15 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions, rows_of, scratch
+from skein.llm.common import partitions, rows_of, scratch, small
 
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
+#: Captures of a range of the index, about, and pieces of runs that one merge reads.
+RANGE_ROWS, FAN_IN = 100_000, 64
 #: Pages carry no capture time: theirs is this moment plus their id in seconds.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 END = b"\r\n"
@@ -138,7 +142,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size"))
     large = picked.where(F.col("size") >= LEAST_REVISIT)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    told = picked.join(scratch(firsts, "firsts"), "digest", "left")
+    told = picked.join(small(scratch(firsts, "firsts")), "digest", "left")
     refers = F.when((F.col("size") >= LEAST_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     rows = told.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("refers_to"))
 
@@ -169,32 +173,42 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return scratch(rows.mapInArrow(write, f"archive string, data binary, run {RUN}"), "archives")
 
 
-def merge_index(archives: DataFrame) -> DataFrame:
-    """(index_pos, url_key, capture_time, archive, offset, length): all captures; ``index_pos`` rises in the global order."""
+def merged(runs: list[list], fan_in: int = FAN_IN) -> list:
+    """One sorted run of all; passes of merges of at most ``fan_in`` runs each, neighbours together."""
+    while len(runs) > 1:
+        runs = [list(LoserTree(runs[i : i + fan_in])) for i in range(0, len(runs), fan_in)]
+    return runs[0] if runs else []
+
+
+def merge_index(archives: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(index_pos, url_key, capture_time, archive, offset, length): all captures; ``index_pos`` counts them from 0 in the global order."""
     captures = archives.select("archive", F.explode("run").alias("r")).select("r.url_key", "r.capture_time", "r.id_order", "archive", "r.offset", "r.length")
+    key = ["url_key", "capture_time", "id_order", "archive", "offset"]
 
     def merge(batches):
-        runs: dict[str, list] = {}
+        runs: list[list] = []
+        last = None
         for batch in batches:
-            for key, time, order, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(archive, []).append((key, time, order, archive, offset, length))
-        for run in runs.values():
-            run.sort()  # sorted but for the order in which a shuffle delivers its blocks: one pass over a sorted list
-        base, rows = TaskContext.get().partitionId() << 40, []
-        for pos, (key, time, _, archive, offset, length) in enumerate(LoserTree(list(runs.values()))):
-            rows.append((base + pos, key, time, archive, offset, length))
-            if len(rows) == 10_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _batch(rows):
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["index_pos", "url_key", "capture_time", "archive", "offset", "length"])
-
-    ranges = captures.repartitionByRange(partitions(archives.sparkSession), "url_key", "capture_time", "id_order", "archive", "offset")
-    return ranges.mapInArrow(merge, "index_pos long, url_key string, capture_time string, archive string, offset long, length long")
+            for url, time, order, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if archive != last:
+                    runs.append([])
+                    last = archive
+                runs[-1].append((url, time, order, archive, offset, length))
+        rows = merged(runs)
+        part = TaskContext.get().partitionId()
+        for at in range(0, len(rows), 10_000):
+            few = rows[at : at + 10_000]
+            urls, times, _, archives_, offsets, lengths = zip(*few, strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = ([part] * len(few), range(at, at + len(few)), urls, times, archives_, offsets, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["range", "pos", "url_key", "capture_time", "archive", "offset", "length"])
+
+    n = archives.agg(F.sum(F.size("run"))).first()[0] or 0
+    ranges = captures.repartitionByRange(max(partitions(archives.sparkSession), -(-n // range_rows)), *key).sortWithinPartitions("archive", *key)
+    pieces = scratch(ranges.mapInArrow(merge, "range int, pos long, url_key string, capture_time string, archive string, offset long, length long"), "index")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = pieces.groupBy("range").agg(F.count("*").alias("_n")).select("range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return pieces.join(F.broadcast(starts), "range").select((F.col("_start") + F.col("pos")).alias("index_pos"), "url_key", "capture_time", "archive", "offset", "length")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -234,7 +248,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 ARCHIVE_SQL = r"""
 WITH p AS (
   SELECT page_id, lower(url) AS u, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
-f AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+f AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p),
+r AS (
 SELECT page_id, size AS payload_bytes, digest AS payload_digest,
   CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
@@ -242,5 +257,6 @@ SELECT page_id, size AS payload_bytes, digest AS payload_digest,
     || regexp_replace(regexp_extract(u, '^[a-z]+://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1), '^:(80|443)$', '') || ')'
     || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS url_key,
   strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
-FROM f
+FROM f)
+SELECT *, row_number() OVER (ORDER BY url_key, capture_time, page_id) - 1 AS index_pos FROM r
 """

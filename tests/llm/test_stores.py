@@ -75,6 +75,21 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for run in runs for x in run)
 
 
+def test_merge_passes_of_bounded_fan_in():
+    r = random.Random(9)
+    for k in (0, 1, 2, 5, 30, 100):
+        runs = [sorted(r.randrange(500) for _ in range(r.randrange(1, 9))) for _ in range(k)]
+        assert warc.merged([list(x) for x in runs], 3) == sorted(x for run in runs for x in run)
+
+
+def test_index_is_a_gapless_rank_over_ranges(spark):
+    rows = [(n, f"http://h{n % 3}.com/{'hot' if n % 2 else n % 7}", f"<p>{n}</p>" * 9) for n in range(500)]
+    written = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), archive_bytes=3000)
+    got = sorted((r.index_pos, r.url_key, r.capture_time) for r in warc.merge_index(written, range_rows=20).collect())
+    want = sorted((warc.url_key(u), warc.capture_time(i)) for i, u, _ in rows)
+    assert got == [(n, *w) for n, w in enumerate(want)]
+
+
 def test_url_keys():
     keys = [warc.url_key(u) for u in ("https://www.Example.com:443/A?b=C#f", "http://user@sub.example.com:8080", None, "not a url", "http://[bad", "")]
     assert keys == ["com,example)/a?b=c", "com,example,sub:8080)/", "", "not a url", "http://[bad", ""]
@@ -98,7 +113,7 @@ def test_archives(spark):
     assert got == want
     order = sorted(out, key=lambda r: r.index_pos)
     keys = [(r.url_key, r.capture_time, -1 if r.page_id is None else r.page_id) for r in order]
-    assert keys == sorted(keys) and len({r.index_pos for r in out}) == len(rows)
+    assert keys == sorted(keys) and [r.index_pos for r in order] == list(range(len(rows)))
     assert warc.archive(df.limit(0)).count() == 0
 
 
