@@ -1,15 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of word-shingle sets: an inverted index with count filtering.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets: a byte-position index with count filtering, then whole sets.
 
-Shingle hashes are put in one global order.  Two sets of similarity s or more then share an element among the first
-n - ceil(s n) + 1 of each, so an index over these prefixes misses no pair, whatever the order; shingles that stand in many
-prefixes come last, as they would make hot postings.  For each pair its shared prefix elements are tallied.  A pair needs
-ceil((m + n) s / (1 + s)) common elements, and those beyond the prefixes are at most the rest of a set, so the tally has a
-guaranteed minimum (:func:`least_shared`).  Pairs below it go; the rest are verified on the whole sets.  No link is lost.
+The bits of a SimHash only estimate a similarity coarsely, so here a fingerprint's ``POSITIONS`` bytes are min-wise: byte i is
+taken from the shingle that is smallest under the i-th hash, so two sets of similarity s share a positional byte with
+probability s.  Postings hold ``WIDTH`` bytes with their positions; ``TABLES`` disjoint groups of positions make a pair of
+similarity 0.8 share no posting once in 200,000 cases, of 0.85 once in 10^8.  The shared positional bytes of a pair are
+tallied; below ``least_bytes`` (six standard deviations under the mean) it goes.  The rest are verified on the whole sets,
+so no link is false.
 
-Equal sets are one node.  First each posting hands on only the pairs with its smallest node; what of that holds is a star.
-Then it hands on the pairs across stars, so no link is lost and a group of many near copies does not cost all its pairs.
-
-Texts are not shuffled: postings hold hashes, and only sets of nodes with a candidate are sent to be compared.
+Equal sets are one node.  A posting first hands on the pairs with its smallest node, then those of its largest with nodes that
+are not yet linked to it, and last all pairs that are still apart: no link that the index knows is lost, and a group of
+many near copies does not cost all its pairs.  Keys have 48 bits beside their table, so postings do not grow with
+the corpus; texts are not shuffled, only sets of nodes that share a posting with another are sent to be compared.
 
 Cases: all texts without words have the same empty set; a text with fewer words than a shingle is one shingle; null ids
 take no part in the smallest id of their group (all null: null); an empty table gives no rows; other columns are not read.
@@ -30,12 +31,11 @@ from skein.llm.common import drop_scratch, join_unique, partitions, rows_of, scr
 from skein.llm.components import components
 
 SEED = 42
-#: A shingle in the prefixes of more nodes than this comes late in the order, if it is among so many most frequent ones.  Both only order the sets.
-FREQUENT, MOST_FREQUENT = 100, 1 << 17
-#: Pairs that are held at once.
-PAIRS = 1 << 18
-#: Guards whole numbers against rounding; it can only add candidates.
-EPS = 1e-9
+#: Bytes of a posting's key, disjoint groups of positions, bytes of a fingerprint.
+WIDTH, TABLES = 6, 40
+POSITIONS = WIDTH * TABLES
+#: Pairs that are held at once, and shingles that are hashed at once.
+PAIRS, CHUNK = 1 << 18, 1 << 12
 PRIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -67,134 +67,97 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def prefix_length(n, similarity: float):
-    """How many first elements of a set of n must include one of any set of at least this similarity."""
-    n = np.asarray(n, np.int64)
-    return np.where(n > 0, n - np.ceil(similarity * n - EPS).astype(np.int64) + 1, 0)
+def _hashes() -> tuple[np.ndarray, np.ndarray]:
+    """A number to add and an odd one to multiply by for each position, from a mixing rule."""
+    with np.errstate(over="ignore"):
+        z = _mixed(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(PRIMES[0]))
+    return z[:POSITIONS, None], z[POSITIONS:, None] | np.uint64(1)
 
 
-def least_shared(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """The fewest elements that the prefixes of similar sets of m and n elements share; above m or n if no such sets are similar.
+ADD, TIMES = _hashes()
 
-    All common elements up to the end of the prefix that ends first are in both prefixes; those after it are at most
-    what its set has left.
-    """
-    need = np.ceil((m + n) * (similarity / (1 + similarity)) - EPS).astype(np.int64)
-    rest = np.maximum(m - prefix_length(m, similarity), n - prefix_length(n, similarity))
-    return np.where(need > np.minimum(m, n), need + 1, np.maximum(1, need - rest))
 
+def fingerprint(h: np.ndarray) -> bytes:
+    """The positional bytes of a set of shingles; zeros for the empty set."""
+    least = np.full(POSITIONS, np.uint64(2**64 - 1))
+    for at in range(0, len(h), CHUNK):
+        with np.errstate(over="ignore"):
+            least = np.minimum(least, ((h[None, at : at + CHUNK] ^ ADD) * TIMES).min(axis=1))
+    return (least >> np.uint64(8)).astype(np.uint8).tobytes() if len(h) else bytes(POSITIONS)
 
-def node_of(text: Column, shingle: int) -> Column:
-    """A digest of the text's set."""
 
-    @F.arrow_udf(T.BinaryType())
-    def of(batch: pa.Array) -> pa.Array:
-        return pa.array([_digest(shingles(t, shingle)) for t in batch.to_pylist()], pa.binary())
-
-    return of(text)
+def least_bytes(similarity: float) -> int:
+    """Shared positional bytes that a pair must have: the mean at this similarity less six standard deviations."""
+    return int(POSITIONS * similarity - 6 * (POSITIONS * similarity * (1 - similarity)) ** 0.5)
 
 
 def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def frequent(docs: DataFrame, text_col: str, shingle: int, similarity: float, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """The (at most ``most``) shingles that stand in the prefixes of most texts, sorted; counted over all texts.
-
-    Prefixes are counted half as long again, as what stands behind moves up when frequent ones go.
-    """
+def prints(text: Column, shingle: int) -> Column:
+    """Struct of a digest of the text's set and the set's fingerprint."""
 
-    def of(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            for part in rows_of(batch):
-                keys = []
-                for text in part.column(0).to_pylist():
-                    h = shingles(text, shingle)
-                    if (d := _digest(h)) not in seen:
-                        seen.add(d)
-                        keys.append(h[: int(1.5 * prefix_length(len(h), similarity))])
-                if len(seen) > 1 << 18:
-                    seen.clear()  # only saves repeats within a task
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+    @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("print", T.BinaryType())]))
+    def of(batch: pa.Array) -> pa.Array:
+        sets = [shingles(t, shingle) for t in batch.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array(map(fingerprint, sets), pa.binary())], names=["node", "print"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(of, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    rows = counts.where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    return of(text)
 
 
-def postings(docs: DataFrame, text_col: str, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(key, node, size) for the prefix of each text's set; shingles in ``last`` are ordered last.  A node may come once from each task."""
+def postings(nodes: DataFrame) -> DataFrame:
+    """(key, node): a row for each of ``nodes`` (node, print) and group of positions; the key is the group and its bytes."""
 
     def of(batches):
-        seen: set[bytes] = set()
+        table = np.arange(TABLES, dtype=np.uint64) << np.uint64(8 * WIDTH)
         for batch in batches:
-            for part in rows_of(batch):
-                keys, names, sizes = [], [], []
-                for text in part.column(0).to_pylist():
-                    h = shingles(text, shingle)
-                    if (node := _digest(h)) in seen:
-                        continue
-                    seen.add(node)
-                    n = int(prefix_length(len(h), similarity))
-                    keys.append(h[np.argsort(np.isin(h, last), kind="stable")[:n]] if len(last) else h[:n])
-                    names += [node] * n
-                    sizes.append(np.full(n, len(h), np.int32))
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                if names:
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(sizes))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size"])
+            if batch.num_rows:
+                bytes_ = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, TABLES, WIDTH)
+                key = np.zeros((batch.num_rows, 8, TABLES), np.uint8)
+                key[:, :WIDTH] = bytes_.transpose(0, 2, 1)
+                keys = np.ascontiguousarray(key.transpose(0, 2, 1)).view(np.uint64)[:, :, 0] | table
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), TABLES)))], names=["key", "node"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(of, "key long, node binary, size int")
+    return nodes.select("node", "print").mapInArrow(of, "key long, node binary")
 
 
-def candidates(index: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """(u, v), u below v, each once: the pairs of the index whose tally reaches the guaranteed minimum.
-
-    Only pairs with a posting's smallest node count; or, ``across``, all pairs whose ``root`` differs.
-    """
+def candidates(index: DataFrame, centre: str) -> DataFrame:
+    """(u, v), u below v, each once: pairs of a posting whose ``root`` differs; with its smallest ("first") or largest ("last") node only, or ("all") all."""
 
     def emit(t: pa.Table):
-        node = t.column("node").combine_chunks()
-        key, size = t.column("key").to_numpy(), t.column("size").to_numpy().astype(np.int64)
-        code = np.unique(np.array(node.to_pylist(), object), return_inverse=True)[1] if len(key) else np.zeros(0, np.int64)
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])])[: len(key)]  # copies from several tasks
-        at = np.flatnonzero(fresh)
-        key, size = key[at], size[at]
-        root = np.unique(np.array(t.column("root").take(pa.array(at)).to_pylist(), object), return_inverse=True)[1] if across and len(at) else None
+        node, key = t.column("node").combine_chunks(), t.column("key").to_numpy()
+        root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
+        at = np.arange(len(key))
         held, count = [], 0
 
-        def pairs(i, j):
-            least = least_shared(size[i], size[j], similarity)
-            ok = least <= np.minimum(size[i], size[j])
-            if root is not None:
-                ok &= root[i] != root[j]
-            return i[ok], j[ok], least[ok]
-
         def batch():
-            i, j, least = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([node.take(pa.array(at[i])), node.take(pa.array(at[j])), pa.array(least.astype(np.int32))], names=["u", "v", "least"])
-
-        if not across:
-            head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            rest = np.flatnonzero(~head)
-            for k in range(0, len(rest), PAIRS):
-                held = [pairs(first[rest[k : k + PAIRS]], rest[k : k + PAIRS])]
-                if len(held[0][0]):
-                    yield batch()
-            return
-        live, step = np.arange(len(key)), 1
-        while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
-            for k in range(0, len(live), PAIRS):
-                held.append(pairs(live[k : k + PAIRS], live[k : k + PAIRS] + step))
-                count += len(held[-1][0])
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
+
+        def steps():
+            if centre == "all":
+                live, step = at, 1
+                while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
+                    yield live, live + step
+                    step += 1
+                return
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(head, at, 0))
+            if centre == "first":
+                yield first, at
+            else:
+                tail = np.concatenate([head[1:], [True]])
+                yield at, np.minimum.accumulate(np.where(tail, at, len(key))[::-1])[::-1]
+
+        for i, j in steps():
+            for k in range(0, len(i), PAIRS):
+                ok = root[i[k : k + PAIRS]] != root[j[k : k + PAIRS]]
+                held.append((i[k : k + PAIRS][ok], j[k : k + PAIRS][ok]))
+                count += int(ok.sum())
                 if count >= PAIRS:
                     yield batch()
                     held, count = [], 0
-            step += 1
         if count:
             yield batch()
 
@@ -204,23 +167,22 @@ def candidates(index: DataFrame, similarity: float, across: bool) -> DataFrame:
             now = pa.Table.from_batches([now])
             kept = now if kept is None else pa.concat_tables([kept, now])
             key = kept.column("key")
-            if key[0] == key[-1] or kept.num_rows < 1 << 16:
+            if kept.num_rows < 1 << 16 or key[0] == key[-1]:
                 continue
             done = int(np.searchsorted(key.to_numpy(), key[-1].as_py()))
             yield from emit(kept.slice(0, done))
             kept = kept.slice(done)
-        if kept is not None:
+        if kept is not None and kept.num_rows:
             yield from emit(kept)
 
     dealt = index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", "node")
-    tallied = dealt.mapInArrow(scan, "u binary, v binary, least int").groupBy("u", "v").agg(F.count("*").alias("n"), F.first("least").alias("least"))
-    return tallied.where(F.col("n") >= F.col("least")).select("u", "v")
+    return dealt.select("key", "node", "root").mapInArrow(scan, "u binary, v binary").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (u, v; a written table) whose whole sets have the similarity.  Only sets of nodes in ``pairs`` move."""
+def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, set): the whole sets of the written table ``nodes``, one pass over the texts."""
 
-    def sets(batches):
+    def of(batches):
         seen: set[bytes] = set()
         for batch in batches:
             for part in rows_of(batch):
@@ -231,38 +193,52 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, sim
                         seen.add(d)
                         out[d] = h.tobytes()
                 if len(seen) > 1 << 18:
-                    seen.clear()
+                    seen.clear()  # only saves repeats within a task
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], names=["node", "set"])
 
+    every = docs.select(F.col(text_col).alias("text")).mapInArrow(of, "node binary, set binary")
+    return scratch(every.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (u, v) that share enough positional bytes and whose whole sets have the similarity."""
+    least = least_bytes(similarity)
+
+    def tally(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, POSITIONS) for c in batch.columns[2:])
+            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
+
     def check(batches):
         for batch in batches:
             for part in rows_of(batch):
-                name, mine, ok = None, None, []
-                for u, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if u != name:
-                        name, mine = u, np.frombuffer(a, np.uint64)
-                    ok.append(jaccard(mine, np.frombuffer(b, np.uint64)) >= similarity)
+                ok = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = scratch(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
-    every = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "node binary, set binary")
-    held = scratch(every.join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    of = lambda c: held.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
-    out = scratch(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u binary, v binary"), "verified")
-    drop_scratch(held)
-    return out
-
-
-def links(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v): true pairs of nodes that connect all that any true pair connects."""
-    index = scratch(postings(docs, text_col, shingle, similarity, frequent(docs, text_col, shingle, similarity)), "postings")
-    stars = verified(scratch(candidates(index, similarity, False), "candidates"), docs, text_col, shingle, similarity)
-    roots = scratch(stars.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")), "roots")
-    rooted = index.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = scratch(candidates(rooted, similarity, True), "candidates")
+    def both(df: DataFrame, table: DataFrame, what: str, keep) -> DataFrame:
+        of = lambda c: table.select(F.col("node").alias(c), F.col(what).alias(f"{c}_{what}"))
+        return df.join(of("u"), "u").join(of("v"), "v").select("u", "v", f"u_{what}", f"v_{what}").mapInArrow(keep, "u binary, v binary")
+
+    return scratch(both(scratch(both(pairs, nodes, "print", tally), "tallied"), sets, "set", check), "verified")
+
+
+def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v): true pairs of the written table ``nodes`` (node, print) that connect all that any true pair connects."""
+    shared = postings(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    index = scratch(postings(nodes).join(small(scratch(shared, "shared")), "key", "left_semi"), "postings")
+    wanted = scratch(index.select("node").distinct(), "wanted")
+    sets = sets_of(docs, wanted, text_col, shingle)
+    known, rooted = None, index.withColumn("root", F.col("node"))
+    for centre in ("first", "last", "all"):
+        found = verified(candidates(rooted, centre), nodes, sets, similarity)
+        known = found if known is None else known.unionByName(found)
+        if centre != "all":
+            roots = scratch(components(known), "roots")
+            rooted = index.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     drop_scratch(index)
-    return stars.unionByName(verified(rest, docs, text_col, shingle, similarity))
+    drop_scratch(sets)
+    return known
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -271,11 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Pairs of at least the ``similarity`` are linked; ``root`` names the component, ``component_id`` is its smallest id
     and ``text_key`` a digest of the row's text.
     """
-    named = scratch(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), node_of(F.col(text_col), shingle).alias("node"), *keep), "named")
-    ids = scratch(named.groupBy("node").agg(F.min("doc_id").alias("first_id")), "ids")
-    found = scratch(components(links(docs, text_col, shingle, similarity)), "roots")
-    linked = scratch(found.join(ids, "node"), "linked")
+    printed = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), prints(F.col(text_col), shingle).alias("_p"), *keep)
+    named = scratch(printed.select("doc_id", "text_key", "_p.node", "_p.print", *keep), "named")
+    nodes = scratch(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print")), "nodes")
+    found = scratch(components(links(docs, nodes, text_col, shingle, similarity)), "roots")
+    linked = scratch(found.join(nodes.select("node", "first_id"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = join_unique(linked, least, ["root"]).select("node", "root", "component_id")
-    label = ids.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    label = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
     return join_unique(named, scratch(label, "labels"), ["node"]).select("doc_id", "component_id", "text_key", "root", *keep)

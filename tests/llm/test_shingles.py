@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 
 import corpus_pipeline
 from skein.llm import shingles, simhash
@@ -51,10 +50,8 @@ def corpus():
     return list(enumerate([*map(" ".join, texts), "", None, "a b", "A  b", "a b c"]))
 
 
-@pytest.mark.parametrize("least", [shingles.FREQUENT, 3])
-def test_links_are_those_of_all_pairs(spark, monkeypatch, least):
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(shingles, "PAIRS", 50)
-    monkeypatch.setattr(shingles.frequent, "__defaults__", (least, 200))
     rows = corpus()
     want, pairs = brute_groups(rows)
     assert sum(0.8 <= s < 0.86 for s in pairs.values()) > 20 and sum(0.7 < s < 0.8 for s in pairs.values()) > 20
@@ -70,20 +67,25 @@ def test_dedup_stage_keeps_distinct_texts(spark, sf_dir):
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
 
 
-def test_fewest_shared_prefix_elements():
-    """The guaranteed minimum, against sets whose common elements come as late as they can."""
-    r = random.Random(8)
-    for _ in range(3000):
-        m, n = r.randrange(1, 60), r.randrange(1, 60)
-        both = r.randrange(0, min(m, n) + 1)
-        if both / (m + n - both) < 0.8:
-            continue
-        keys = r.sample(range(10**6), m + n - both)
-        late = sorted(keys)[-both:] if r.random() < 0.5 else r.sample(keys, both)
-        other = [k for k in keys if k not in set(late)]
-        a, b = sorted(late + other[: m - both]), sorted(late + other[m - both :])
-        shared = set(a[: int(shingles.prefix_length(m, 0.8))]) & set(b[: int(shingles.prefix_length(n, 0.8))])
-        assert len(shared) >= shingles.least_shared(np.array([m]), np.array([n]), 0.8)[0] >= 1
+def test_positional_bytes_are_shared_as_the_similarity_says():
+    """Shared bytes and candidates of random pairs in bands of similarity, against what is promised."""
+    r, found = np.random.default_rng(7), {}
+    for band in (0.80, 0.85, 0.90):
+        shared, hit = [], 0
+        for _ in range(400):
+            n = int(r.choice((20, 100, 400)))
+            both = round(n * 2 * band / (1 + band) + 0.499)
+            pool = r.integers(0, 2**64 - 1, 2 * n - both, np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+            assert shingles.jaccard(a, b) >= band
+            x, y = (np.frombuffer(shingles.fingerprint(s), np.uint8) for s in (a, b))
+            shared.append((x == y).mean() - shingles.jaccard(a, b))
+            assert (x == y).sum() >= shingles.least_bytes(0.8)
+            hit += (x == y).reshape(shingles.TABLES, shingles.WIDTH).all(axis=1).any()
+        assert abs(np.mean(shared)) < 0.01
+        found[band] = hit / 400
+    assert min(found.values()) > 0.995
+    assert shingles.fingerprint(np.zeros(0, np.uint64)) == bytes(shingles.POSITIONS)
 
 
 def test_one_row_of_each_group_stays(spark):
