@@ -4,12 +4,13 @@ The bits of a SimHash only estimate a similarity coarsely, so here a fingerprint
 taken from the shingle that is smallest under the i-th hash, so two sets of similarity s share a positional byte with
 probability s.  Postings hold ``WIDTH`` bytes with their positions; ``TABLES`` disjoint groups of positions make a pair of
 similarity 0.8 share no posting once in 200,000 cases, of 0.85 once in 10^8.  The shared positional bytes of a pair are
-tallied; below ``least_bytes`` (six standard deviations under the mean) it goes.  The rest are verified on the whole sets,
+tallied; below ``least_bytes`` (four standard deviations under the mean, one pair of 0.8 in 30,000) it goes.  The rest are verified on the whole sets,
 so no link is false.
 
-Equal sets are one node.  A posting first hands on the pairs with its smallest node, then those of its largest with nodes that
-are not yet linked to it, and last all pairs that are still apart: no link that the index knows is lost, and a group of
-many near copies does not cost all its pairs.  Keys have 48 bits beside their table, so postings do not grow with
+Equal sets are one node.  Nodes are ordered by how many others they meet in postings, as the text that others were
+made from meets most.  A posting first hands on the pairs with its first node, then those of its first
+node that is not yet linked to that one, and last all pairs that are still apart and whose tally, taken within the posting,
+is high enough: no link that the index knows is lost, and a group of many near copies does not cost all its pairs.  Keys have 48 bits beside their table, so postings do not grow with
 the corpus; texts are not shuffled, only sets of nodes that share a posting with another are sent to be compared.
 
 Cases: all texts without words have the same empty set; a text with fewer words than a shingle is one shingle; null ids
@@ -35,7 +36,7 @@ SEED = 42
 WIDTH, TABLES = 6, 40
 POSITIONS = WIDTH * TABLES
 #: Pairs that are held at once, and shingles that are hashed at once.
-PAIRS, CHUNK = 1 << 18, 1 << 12
+PAIRS, CHUNK = 1 << 15, 1 << 12
 PRIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -87,8 +88,8 @@ def fingerprint(h: np.ndarray) -> bytes:
 
 
 def least_bytes(similarity: float) -> int:
-    """Shared positional bytes that a pair must have: the mean at this similarity less six standard deviations."""
-    return int(POSITIONS * similarity - 6 * (POSITIONS * similarity * (1 - similarity)) ** 0.5)
+    """Shared positional bytes that a pair must have: the mean at this similarity less four standard deviations."""
+    return int(POSITIONS * similarity - 4 * (POSITIONS * similarity * (1 - similarity)) ** 0.5)
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -122,39 +123,61 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "print").mapInArrow(of, "key long, node binary")
 
 
-def candidates(index: DataFrame, centre: str) -> DataFrame:
-    """(u, v), u below v, each once: pairs of a posting whose ``root`` differs; with its smallest ("first") or largest ("last") node only, or ("all") all."""
+def candidates(index: DataFrame, similarity: float, centre: str) -> DataFrame:
+    """(u, v), u before v, each once: pairs of a posting whose ``root`` differs.
+
+    With the posting's first node only ("first"), or with the first that is apart from that ("second").  Or ("all") all
+    pairs whose tally is high enough, each from the first posting that it shares; the index then has a column ``print``.
+    """
+    least = least_bytes(similarity)
+
+    def first_of(key, some):
+        """For each row the place of its posting's first row of ``some``; the row itself if there is none."""
+        at = np.arange(len(key))
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        place = np.minimum.reduceat(np.where(some, at, len(key)), head)
+        place = np.repeat(place, np.diff(np.append(head, len(key))))
+        return np.where(place < len(key), place, at)
+
+    def steps(key, root):
+        at = np.arange(len(key))
+        if centre == "all":
+            step = 1
+            while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+                yield at, at + step
+                step += 1
+            return
+        first = first_of(key, np.ones(len(key), bool))
+        if centre == "second":
+            first = first_of(key, root != root[first])
+        yield np.minimum(first, at), np.maximum(first, at)
+
+    def high(key, prints, i, j):
+        """Which pairs have this posting as their first one and share bytes enough."""
+        same = prints[i] == prints[j]
+        table = (key[i].view(np.uint64) >> np.uint64(8 * WIDTH)).astype(np.int64)
+        return (same.sum(axis=1, dtype=np.int32) >= least) & (same.reshape(-1, TABLES, WIDTH).all(axis=2).argmax(axis=1) == table)
 
     def emit(t: pa.Table):
-        node, key = t.column("node").combine_chunks(), t.column("key").to_numpy()
+        node, key = t.column("node").combine_chunks(), np.ascontiguousarray(t.column("key").to_numpy())
         root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
-        at = np.arange(len(key))
+        prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, POSITIONS) if centre == "all" else None
         held, count = [], 0
 
         def batch():
             i, j = (np.concatenate(x) for x in zip(*held, strict=True))
             return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
 
-        def steps():
-            if centre == "all":
-                live, step = at, 1
-                while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
-                    yield live, live + step
-                    step += 1
-                return
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(head, at, 0))
-            if centre == "first":
-                yield first, at
-            else:
-                tail = np.concatenate([head[1:], [True]])
-                yield at, np.minimum.accumulate(np.where(tail, at, len(key))[::-1])[::-1]
-
-        for i, j in steps():
+        for i, j in steps(key, root):
             for k in range(0, len(i), PAIRS):
-                ok = root[i[k : k + PAIRS]] != root[j[k : k + PAIRS]]
-                held.append((i[k : k + PAIRS][ok], j[k : k + PAIRS][ok]))
-                count += int(ok.sum())
+                a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+                ok = root[a] != root[b]
+                a, b = a[ok], b[ok]
+                if prints is not None:
+                    ok = high(key, prints, a, b)
+                    a, b = a[ok], b[ok]
+                held.append((a, b))
+                count += len(a)
                 if count >= PAIRS:
                     yield batch()
                     held, count = [], 0
@@ -175,8 +198,9 @@ def candidates(index: DataFrame, centre: str) -> DataFrame:
         if kept is not None and kept.num_rows:
             yield from emit(kept)
 
-    dealt = index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "root").mapInArrow(scan, "u binary, v binary").distinct()
+    dealt = index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", F.desc("degree"), "node")
+    found = dealt.select("key", "node", "root", *(["print"] if centre == "all" else [])).mapInArrow(scan, "u binary, v binary")
+    return found if centre == "all" else found.distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -201,7 +225,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> D
     return scratch(every.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, tallied: bool = False) -> DataFrame:
     """The rows of ``pairs`` (u, v) that share enough positional bytes and whose whole sets have the similarity."""
     least = least_bytes(similarity)
 
@@ -220,18 +244,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: fl
         of = lambda c: table.select(F.col("node").alias(c), F.col(what).alias(f"{c}_{what}"))
         return df.join(of("u"), "u").join(of("v"), "v").select("u", "v", f"u_{what}", f"v_{what}").mapInArrow(keep, "u binary, v binary")
 
-    return scratch(both(scratch(both(pairs, nodes, "print", tally), "tallied"), sets, "set", check), "verified")
+    near = scratch(pairs if tallied else both(pairs, nodes, "print", tally), "tallied")
+    return scratch(both(near, sets, "set", check), "verified")
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(u, v): true pairs of the written table ``nodes`` (node, print) that connect all that any true pair connects."""
-    shared = postings(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    index = scratch(postings(nodes).join(small(scratch(shared, "shared")), "key", "left_semi"), "postings")
-    wanted = scratch(index.select("node").distinct(), "wanted")
-    sets = sets_of(docs, wanted, text_col, shingle)
+    counts = scratch(postings(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = scratch(postings(nodes).join(small(counts), "key"), "met")
+    degrees = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    index = scratch(met.join(small(degrees), "node").select("key", "node", "degree"), "postings")
+    drop_scratch(met)
+    sets = sets_of(docs, degrees.select("node"), text_col, shingle)
     known, rooted = None, index.withColumn("root", F.col("node"))
-    for centre in ("first", "last", "all"):
-        found = verified(candidates(rooted, centre), nodes, sets, similarity)
+    for centre in ("first", "second", "all"):
+        if centre == "all":  # only postings that still have nodes apart
+            apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+            rooted = rooted.join(small(scratch(apart, "apart")), "key", "left_semi").join(nodes.select("node", "print"), "node")
+        pairs = candidates(rooted, similarity, centre)
+        found = verified(pairs, nodes, sets, similarity, tallied=centre == "all")
         known = found if known is None else known.unionByName(found)
         if centre != "all":
             roots = scratch(components(known), "roots")
