@@ -30,6 +30,13 @@ def count_min(df: DataFrame, column: str, eps: float = 0.001, confidence: float
     return df.agg(F.count_min_sketch(F.col(column), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def count_min_estimates(sketch: DataFrame, values: list, name: str) -> DataFrame:
+    """(name, estimate): the counts of ``values`` that a sketch of :func:`count_min` gives; never below the true ones."""
+    spark = sketch.sparkSession
+    held = spark.sparkContext._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytearray(sketch.first().sketch))
+    return spark.createDataFrame([(v, held.estimateCount(v)) for v in values], f"{name} {dict(sketch.sparkSession.createDataFrame([(values[0],)], [name]).dtypes)[name] if values else 'long'}, estimate long")
+
+
 def approx_mean(df: DataFrame, column: str, epsilon: float, confidence: float, first: float = 0.01, seed: int = 7) -> DataFrame:
     """Mean of ``column`` within ``epsilon`` with the given confidence, from growing samples.
 

@@ -30,13 +30,3 @@ def pivot(df: DataFrame, keys: list[str], by: str, values: list, aggregate: Colu
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     return df.unpivot(keys, columns, name, value)
-
-
-def distinct_on(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key group in ``order``: a partial aggregate where the order is one column, so hot keys shrink before the shuffle."""
-    names = df.columns
-    if not order:
-        return df.dropDuplicates(keys)
-    from pyspark.sql import Window
-
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").select(*names)

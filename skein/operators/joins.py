@@ -7,20 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this size in bytes, as the optimiser estimates it.
-BROADCAST_BYTES = 10 << 20
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a table's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it is estimated below ``limit``; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if size_in_bytes(df) <= limit else df
-
-
 def equi_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner", residual: Column | None = None) -> DataFrame:
     """Join on pairs of columns; ``residual`` is part of the condition, so outer rows that fail it stay."""
     condition = reduce(lambda a, b: a & b, [left[x] == right[y] for x, y in on])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,25 @@ def delete(table: DataFrame, where: Column | None = None) -> DataFrame:
     return table.limit(0) if where is None else table.where(~F.coalesce(where, F.lit(False)))
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, but reading them fails if two have the same keys (none of them NULL): they would change one row twice."""
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    counted = rows.withColumn("_same", F.count("*").over(Window.partitionBy(*keys)))
+    alone = F.assert_true((F.col("_same") == 1) | ~known, F.lit(f"several rows with the same {', '.join(keys)} change one row"))
+    return counted.where(alone.isNull()).drop("_same")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], replace: bool = True) -> DataFrame:
-    """INSERT with ON CONFLICT on ``keys``: existing rows are replaced (given columns only) or left."""
-    fresh = rows.join(table.select(*keys), keys, "left_anti")
+    """INSERT with ON CONFLICT on ``keys``: existing rows are replaced (given columns only) or left.
+
+    Of new rows with the same keys one is inserted if conflicts are left alone; if they replace, the change fails.
+    """
     if not replace:
-        return insert(table, fresh)
+        fresh = rows.join(table.select(*keys), keys, "left_anti")
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        return insert(table, fresh.where(known).dropDuplicates(keys).unionByName(fresh.where(~known)))
+    rows = one_each(rows, keys)
+    fresh = rows.join(table.select(*keys), keys, "left_anti")
     given = [c for c in rows.columns if c not in keys]
     new = rows.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
     kept = table.join(new, keys, "left")
@@ -40,8 +54,9 @@ def merge(table: DataFrame, source: DataFrame, keys: list[str], update_set: dict
     """MERGE on equal ``keys`` as one full outer join.
 
     ``update_set`` maps table columns to SQL over ``t.`` and ``s.`` columns; ``delete_when`` is such a condition
-    for matched rows.
+    for matched rows.  Several rows of ``source`` with the same keys make it fail.
     """
+    source = one_each(source, keys)
     t = table.withColumn("_in_t", F.lit(True)).alias("t")
     s = source.withColumn("_in_s", F.lit(True)).alias("s")
     both = t.join(s, reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]), "full")

@@ -18,8 +18,6 @@ def within_hamming(df: DataFrame, column: str, target: int, distance: int) -> Da
 
 def sign_bits(vector: Column, size: int = 64) -> Column:
     """The signs of a vector's first ``size`` elements as one integer; bit i is set where element i is above zero."""
-    bits = [F.when(F.get(vector, F.lit(i)) > 0, F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(size)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return total
+    from_last = F.reverse(F.slice(vector, 1, size))
+    bits_of = F.aggregate(from_last, F.lit(0).cast("long"), lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(F.coalesce((x > 0).cast("long"), F.lit(0).cast("long"))))
+    return F.coalesce(bits_of, F.lit(0).cast("long"))

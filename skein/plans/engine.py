@@ -7,6 +7,7 @@ version of a table; transactions, savepoints and point-in-time reads keep older
 from __future__ import annotations
 
 import copy
+import dataclasses
 import re
 import time
 from dataclasses import dataclass, field
@@ -529,13 +530,19 @@ class Engine:
 
     # -- changes --------------------------------------------------------------------------------
 
-    def _change(self, name: str, df: DataFrame, n: int) -> DataFrame:
-        """A new version of ``name`` once its constraints hold."""
+    def _change(self, name: str, df: DataFrame, n: int, came: DataFrame | None = None) -> DataFrame:
+        """A new version of ``name`` once its constraints hold; if only rows ``came``, the others are neither checked nor versioned anew."""
         t = copy.copy(self.table(name))
-        t.df, t.depth = df, t.depth + 1
-        self._validate(name, t)
+        before, t.df, t.depth = t.df, df, t.depth + 1
+        if came is None:
+            self._validate(name, t)
+        else:
+            self._validate(name, dataclasses.replace(t, df=came))
+            for keys in t.unique:
+                if not came.join(before.select(*keys), keys, "left_semi").isEmpty():
+                    raise ConstraintError(f"{name}: {keys} not unique")
         if t.versions is not None:
-            t.versions = temporal.apply(t.versions, df, self.clock())
+            t.versions = temporal.apply(t.versions, df, self.clock()) if came is None else t.versions.unionByName(temporal.start(came, self.clock()))
         self._put(name, t)
         return self._affected(n)
 
@@ -583,7 +590,8 @@ class Engine:
         rows = mutation.insert(t.df.limit(0), rows)
         n = rows.count()
         if clause is None:
-            self._change(name, mutation.insert(t.df, rows), n)
+            rows = scratch(rows, "inserted")
+            self._change(name, mutation.insert(t.df, rows), n, came=rows)
         else:
             self._conflict(name, t, rows, clause)
         return self._pick(rows, returning) if returning else self._affected(n)
@@ -675,9 +683,9 @@ class Engine:
         whens = [i for i in range(on, len(tokens)) if tokens[i].key == "WHEN" and (tokens[i + 1].key == "MATCHED" or tokens[i + 1].key == "NOT")]
         condition = render(dialect.query(tokens[on + 1 : whens[0]]))
         clauses = [tokens[i:j] for i, j in zip(whens, [*whens[1:], len(tokens)], strict=True)]
-        t.df.withColumn("__t", F.lit(True)).createOrReplaceTempView("__target")
+        scratch(t.df.withColumn("__t", F.monotonically_increasing_id()), "target").createOrReplaceTempView("__target")
         rows.withColumn("__s", F.lit(True)).createOrReplaceTempView("__source")
-        fresh, stale, both = "__t IS NULL", "__s IS NULL", "(__t AND __s)"
+        fresh, stale, both = "__t IS NULL", "__s IS NULL", "(__t IS NOT NULL AND __s)"
         action, values = [], {c: [] for c in t.df.columns}
         for n, c in enumerate(clauses):
             then = find(c, "THEN")
@@ -701,11 +709,17 @@ class Engine:
                 for column, e in {**dict.fromkeys(t.df.columns, "NULL"), **t.defaults, **dict(zip(columns, given, strict=True))}.items():
                     values[column].append((n + 1, e))
         join = f"__target AS {alias} FULL OUTER JOIN __source AS {s_alias} ON {condition}"
-        picked = ", ".join("CASE " + " ".join(f"WHEN __a = {n} THEN CAST({e} AS {kind})" for n, e in values[c]) + f" ELSE {alias}.`{c}` END AS `{c}`" if values[c] else f"{alias}.`{c}` AS `{c}`" for c, kind in t.df.dtypes)
         act = f"(CASE {' '.join(action)} ELSE 0 END)"
-        result = scratch(self.spark.sql(f"SELECT {picked.replace('__a', act)}, {act} AS __a, __t FROM {join}"), "merge")
+
+        def when(n: int) -> str:  # the branch's own condition, after those that come before it
+            return f"{act} = {n}"
+
+        picked = ", ".join("CASE " + " ".join(f"WHEN {when(n)} THEN CAST({e} AS {kind})" for n, e in values[c]) + f" ELSE {alias}.`{c}` END AS `{c}`" if values[c] else f"{alias}.`{c}` AS `{c}`" for c, kind in t.df.dtypes)
+        result = scratch(self.spark.sql(f"SELECT {picked}, {act} AS __a, __t FROM {join}"), "merge")
+        if not result.where("__t IS NOT NULL AND __a <> 0").groupBy("__t").count().where("count > 1").isEmpty():
+            raise ConstraintError(f"{name}: several source rows of the MERGE change one row")
         n = result.where("__a <> 0").count()
-        self._change(name, result.where("__a > 0 OR (__a = 0 AND __t)").drop("__a", "__t"), n)
+        self._change(name, result.where("__a > 0 OR (__a = 0 AND __t IS NOT NULL)").drop("__a", "__t"), n)
         return self._affected(n)
 
     # -- the rest -------------------------------------------------------------------------------

@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share: a folder of this machine would lose tables on {master}")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-shared-"))
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 

@@ -43,18 +43,24 @@ def deduplicate(events: DataFrame, keys: list[str], late: str = LATE) -> DataFra
     return _watermarked(events, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def run_stream(spark: SparkSession, folder: str, files: str, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Run a streaming query over the ``files`` (a glob) of a folder until all are read; its complete result as a table.
+def run_stream(spark: SparkSession, folder: str, files: str, build: Callable[[DataFrame], DataFrame], name: str, keys: tuple[str, ...] = ("start", "end", "event_type")) -> DataFrame:
+    """Run a streaming query over the ``files`` (a glob) of a folder until all are read; its result as a table.
 
-    The state and progress live in shared storage, so a restarted query goes on where it stopped.
+    Batches hand on only the rows that changed, so state behind the watermark is dropped; the last row of each of
+    ``keys`` is the result.  The state and progress live in shared storage, so a restarted query goes on where it stopped.
     """
     schema = spark.read.parquet(f"{folder}/{files}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
     box: list[DataFrame] = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        box.append(scratch(batch, name))
+    def keep(batch: DataFrame, number: int) -> None:
+        box.append(scratch(batch.withColumn("_batch", F.lit(number)), name))
 
-    query = build(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = build(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return box[-1]
+    changes = box[0]
+    for more in box[1:]:
+        changes = changes.unionByName(more)
+    values = [c for c in changes.columns if c not in (*keys, "_batch")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_last"))
+    return last.select(*keys, "_last.*")

@@ -81,6 +81,22 @@ def test_merge(run):
     assert run("SELECT id, val FROM target ORDER BY id") == [(2, 0), (3, 0)]
 
 
+def test_merge_changes_a_row_once(run):
+    run("CREATE TABLE target (id INT, s VARCHAR(20))")
+    run("INSERT INTO target VALUES (1, 'a'), (1, 'a')")
+    with pytest.raises(ConstraintError):
+        run("MERGE INTO target USING (VALUES (1, 5), (1, 6)) AS x(id, v) ON target.id = x.id WHEN MATCHED THEN UPDATE SET s = 'see__a'")
+    assert run("SELECT s FROM target") == [("a",), ("a",)]
+    assert run("MERGE INTO target USING (VALUES (1, 5)) AS x(id, v) ON target.id = x.id WHEN MATCHED THEN UPDATE SET s = 'see__a'") == [(2,)]
+    assert run("SELECT s FROM target") == [("see__a",), ("see__a",)]
+    run("CREATE TABLE u (id INT PRIMARY KEY, v INT)")
+    run("INSERT INTO u VALUES (1, 1)")
+    run("INSERT INTO u VALUES (2, 1), (2, 3) ON CONFLICT (id) DO NOTHING")
+    assert run("SELECT count(*) FROM u") == [(2,)]
+    with pytest.raises(Exception, match="same id"):
+        run("INSERT INTO u VALUES (1, 1), (1, 3) ON CONFLICT (id) DO UPDATE SET v = excluded.v")
+
+
 def test_recursion(run):
     run("CREATE TABLE employees (id INT, manager_id INT, name VARCHAR(50))")
     run("INSERT INTO employees VALUES (1,0,'CEO'), (2,1,'VP Eng'), (3,1,'VP Sales'), (4,2,'Dev Lead'), (5,2,'QA Lead')")
