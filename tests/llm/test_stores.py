@@ -48,8 +48,9 @@ def test_store_keeps_each_chunk_once(spark):
     r = random.Random(3)
     shared = "".join(r.choice("abcdefgh ") for _ in range(40_000))
     docs = spark.createDataFrame([(n, f"{n} start " + shared) for n in range(6)], "doc_id long, text string")
-    _, manifest, chunks, _ = media.store(docs)
-    stored = chunks.count()
+    _, packs, chunks, _ = media.store(docs)
+    manifest = media.lists(packs)
+    stored = chunks.count() + manifest.where("length > 0").count()
     assert stored == manifest.select("digest").distinct().count() < 0.5 * manifest.count()
 
 
@@ -58,8 +59,37 @@ def test_passages_shared_by_documents_are_stored_once(spark):
     prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage = prose(6_000)
     docs = spark.createDataFrame([(n, prose(500 + 137 * n) + passage + prose(700)) for n in range(6)], "doc_id long, text string")
-    _, manifest, chunks, _ = media.store(docs)
-    assert chunks.count() < 0.6 * manifest.count()
+    _, packs, chunks, _ = media.store(docs)
+    manifest = media.lists(packs)
+    assert chunks.count() + manifest.where("length > 0").count() < 0.6 * manifest.count()
+
+
+def test_reading_needs_every_stored_chunk(spark):
+    from skein.llm.common import scratch
+
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = prose(6_000)
+    docs = spark.createDataFrame([(n, prose(900) + passage) for n in range(4)] + [(10, "alone"), (11, "twice"), (12, "twice")], "doc_id long, text string").repartition(3)
+    _, packs, chunks, words = media.store(docs)
+    assert packs.count() == 6 and media.rebuild(packs, chunks, words).count() == 6
+    gone = chunks.first().digest
+    with pytest.raises(Exception, match="missing or damaged"):
+        media.rebuild(packs, scratch(chunks.where(chunks.digest != gone), "less"), words).collect()
+
+
+def test_bitmap_names_its_digests(spark):
+    digests = [hashlib.sha256(bytes([n, 7])).digest() for n in range(200)]
+    bits = media.bitmap(spark.createDataFrame([(bytearray(d),) for d in digests[:100]], "digest binary"))
+    assert all(media.told(bits, d) for d in digests[:100]) and not any(media.told(bits, d) for d in digests[100:])
+
+
+def test_feature_against_a_loop():
+    data = media.payload("Some text, é, with a few words\n" * 9)
+    x = [b - 128 for b in data]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+    want = f"wav8 mean={sum(x) / len(x):.4f} rms={(sum(v * v for v in x) / len(x)) ** 0.5:.4f} crossings={crossings} chunks=3"
+    assert media.feature(data, 3) == want
 
 
 def test_damage_is_noticed():
