@@ -3,9 +3,9 @@
 Each text becomes ``len(FEATURES)`` transformed statistics.  The class means and second
 moments are sums over all labelled rows, made by Spark; only those sums reach the driver.
 Each class covariance is shrunk towards the pooled one and towards a multiple of the
-identity, and factored once (Cholesky).  A score is the logistic of the difference of two
-Gaussian log-densities (Mahalanobis distances from triangular solves with the cached
-factors, plus log-determinants) and the class prior.
+identity, and factored once (Cholesky); the model keeps the factors and their inverses.  A score is the
+logistic of the difference of two Gaussian log-densities (Mahalanobis distances as lengths of
+products with the kept inverses, plus log-determinants) and the class prior.
 
 Cases: a null text counts as empty and is scored like one; labels that are null, not 0 or 1, or
 of unknown ids are not used; repeated labels count each; with no label or a single class the
@@ -75,13 +75,17 @@ class Model:
     factors: np.ndarray | None = None
     log_dets: np.ndarray | None = None
 
+    def __post_init__(self):
+        #: Inverted once, so that a batch costs products alone.
+        self.inverses = None if self.factors is None else np.linalg.inv(self.factors)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.prior)
         z = (x - self.centre) / self.scale
         density = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            density.append(-0.5 * (np.square(np.linalg.solve(factor, (z - mean).T)).sum(axis=0) + log_det))
+        for mean, whiten, log_det in zip(self.means, self.inverses, self.log_dets, strict=True):
+            density.append(-0.5 * (np.square(whiten @ (z - mean).T).sum(axis=0) + log_det))
         gap = (density[1] - density[0] + np.log(self.prior / (1 - self.prior))) / TEMPERATURE
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 

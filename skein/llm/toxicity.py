@@ -7,16 +7,20 @@ starts of 4 to 7 letters, as log(1 + count).  One weight vector is shared by all
 P(grade > k) = logistic(w x - t_k) with t_0 < t_1 < t_2, fitted by penalised maximum likelihood, so
 the expected severity is the sum of the three.
 
-The model is fitted on the driver from a bounded sample, at most ``max_rows`` labelled rows chosen by
-the hash of their id; scoring covers every word of every text.
+The model is fitted on a bounded sample, at most ``max_rows`` labelled rows chosen by the hash of their
+id.  Texts stay on the executors: Spark counts the features of the sampled texts and picks the best
+``max_features``, then the driver gets each text's counts of those alone and its grade, so neither its rows
+nor their bytes grow with the texts.  Scoring covers every word of every text.
 
 Cases: a null text counts as empty (no features, lowest severity); null or unknown labels are not
-used; with no toxic label all texts have severity 0; null ids are scored; repeated rows give
+used; copies of a sampled text with one label count once, and where repeated ids bring more than
+``2 * max_rows`` different texts, those of the least digests are used; with no toxic label all texts have severity 0; null ids are scored; repeated rows give
 a row each; an empty table gives no rows; other columns are not read by :func:`grade`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_sample
+from skein.llm.common import bounded_sample, drop_scratch, partitions, scratch, text_key
 
 GRADES = 4
 MAX_ROWS = 6_000
@@ -38,6 +42,10 @@ WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.5
 #: Words of a text that are counted at once, whatever its length.
 PIECE = 1 << 20
+#: A feature must occur in this share of the toxic sample texts, and in two of them.
+LEAST_SHARE = 0.01
+#: A feature is typical if it occurs in more than this many times as many toxic texts as clean ones.
+TYPICAL = 9
 
 
 def word_counts(text: str | None) -> Counter:
@@ -86,44 +94,6 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - margins[:, None], -500, 500)))
 
 
-def train(texts: list[str], toxic: list[int], max_features: int = MAX_FEATURES, l2: float = 0.2, steps: int = 500) -> Model:
-    """Pick features by their gain over the labels, grade the toxic texts, fit weights and thresholds."""
-    first = {(t, v): i for i, (t, v) in reversed(list(enumerate(zip(texts, toxic, strict=True))))}  # copies teach nothing new
-    texts, toxic = [texts[i] for i in sorted(first.values())], [toxic[i] for i in sorted(first.values())]
-    y = np.array(toxic, int)
-    if not y.any() or y.all():
-        return Model()
-    in_toxic: Counter = Counter()
-    for i in np.flatnonzero(y):
-        in_toxic.update({f for word in word_counts(texts[i]) for f in parts(word)})
-    least = max(2, int(y.sum() * 0.01))
-    chosen = {f for f, n in in_toxic.items() if n >= least}
-    in_toxic = Counter({f: in_toxic[f] for f in chosen})
-    heads = {f.rstrip("$")[:4] for f in chosen}
-    in_clean: Counter = Counter()
-    for i in np.flatnonzero(y == 0):
-        in_clean.update(_features(word_counts(texts[i]), chosen, heads).keys())
-    pos, neg = y.sum(), len(y) - y.sum()
-    lift = {f: np.log((in_toxic[f] + 0.5) / (pos + 1)) - np.log((in_clean[f] + 0.5) / (neg + 1)) for f in chosen}
-    gain = {f: in_toxic[f] * lift[f] for f in chosen if lift[f] > np.log(4)}
-    names = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
-    if not names:
-        return Model()
-    index = {f: j for j, f in enumerate(names)}
-    heads = {f.rstrip("$")[:4] for f in names}
-    typical = {f for f in names if in_toxic[f] > 9 * in_clean[f]}
-    grade, cells = np.zeros(len(y), int), []
-    for i, text in enumerate(texts):  # again, as the words of all texts together would not fit
-        counts = word_counts(text)
-        cells += [(i, index[f], np.log1p(n)) for f, n in _features(counts, index, heads).items()]
-        if y[i]:
-            evidence = sum(n for w, n in counts.items() if w[:4] in heads and parts(w) & typical)
-            grade[i] = 1 if evidence <= 1 else 2 if evidence <= 4 else 3
-    row, col, value = (np.array(c) for c in zip(*cells, strict=True))
-    w, t = fit_cumulative(row, col, value, len(names), grade, l2, steps)
-    return Model({f: float(w[j]) for f, j in index.items() if abs(w[j]) > 1e-3}, t)
-
-
 def fit_cumulative(row: np.ndarray, col: np.ndarray, value: np.ndarray, d: int, grade: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the mean log-likelihood with an L2 penalty on the weights.
 
@@ -157,13 +127,74 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
     return raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows, chosen by the hash of their id (a table of that bound is broadcast)."""
+def feature_sets(text: Column) -> Column:
+    """The distinct features of each text."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def of(batch: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        sets = [pa.array([sorted({f for word in word_counts(t.as_py()) for f in parts(word)})], kind) for t in batch]
+        return pa.concat_arrays(sets) if sets else pa.array([], kind)
+
+    return of(text)
+
+
+def evidence(text: Column, names: list[str], typical: set[str]) -> Column:
+    """Struct of the positions in ``names`` of each text's features, their counts, and how many words have a ``typical`` one."""
+    index = {f: j for j, f in enumerate(names)}
+    heads = {f.rstrip("$")[:4] for f in names}
+    out = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType())), T.StructField("typical", T.LongType())])
+
+    @F.arrow_udf(out)
+    def of(batch: pa.Array) -> pa.Array:
+        at, counted, hits = [], [], []
+        for t in batch:
+            counts = word_counts(t.as_py())
+            found = _features(counts, index, heads)
+            at.append([index[f] for f in found])
+            counted.append(list(found.values()))
+            hits.append(sum(n for w, n in counts.items() if w[:4] in heads and parts(w) & typical))
+        columns = [pa.array(at, pa.list_(pa.int32())), pa.array(counted, pa.list_(pa.int64())), pa.array(hits, pa.int64())]
+        return pa.StructArray.from_arrays(columns, names=["at", "n", "typical"])
+
+    return of(text)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(_y, _text, _key), written: the different sampled texts of each label."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
-    sample = bounded_sample(known, "_id", max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r._id, r._y, r._text or ""))
-    return train([r._text for r in rows], [r._y for r in rows])
+    chosen = F.broadcast(bounded_sample(known, "_id", max_rows))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_y", "_text", text_key(F.col("_text")).alias("_key"))
+    return scratch(rows.dropDuplicates(["_key", "_y"]).repartition(partitions(docs.sparkSession)), "toxicity")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, l2: float = 0.2, steps: int = 500) -> Model:
+    """Pick features by their gain over the labels, grade the toxic texts, fit weights and thresholds."""
+    written = _sample(docs, labels, id_col, text_col, label_col, max_rows)
+    texts = written
+    if texts.count() > 2 * max_rows:
+        texts = texts.join(F.broadcast(texts.select("_key", "_y").orderBy("_key", "_y").limit(2 * max_rows)), ["_key", "_y"], "left_semi")
+    sizes = {r._y: r["count"] for r in texts.groupBy("_y").count().collect()}  # two rows at most
+    if len(sizes) < 2:
+        drop_scratch(written)
+        return Model()
+    found = texts.select("_y", F.explode(feature_sets(F.col("_text"))).alias("f")).groupBy("f").agg(F.sum("_y").alias("toxic"), F.sum(1 - F.col("_y")).alias("clean"))
+    lift = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
+    able = found.where(F.col("toxic") >= max(2, int(sizes[1] * LEAST_SHARE))).withColumn("lift", lift).where(F.col("lift") > math.log(4))
+    best = able.orderBy((F.col("toxic") * F.col("lift")).desc(), "f").limit(max_features).collect()
+    if not best:
+        drop_scratch(written)
+        return Model()
+    names = [r.f for r in best]
+    seen = texts.select("_key", "_y", evidence(F.col("_text"), names, {r.f for r in best if r.toxic > TYPICAL * r.clean}).alias("_e")).select("_key", "_y", "_e.*").collect()
+    drop_scratch(written)
+    seen.sort(key=lambda r: (bytes(r._key), r._y))
+    row = np.repeat(np.arange(len(seen)), [len(r.at) for r in seen])
+    col = np.array([j for r in seen for j in r.at], int)
+    value = np.log1p(np.array([n for r in seen for n in r.n], float))
+    graded = np.array([0 if not r._y else 1 if r.typical <= 1 else 2 if r.typical <= 4 else 3 for r in seen])
+    w, t = fit_cumulative(row, col, value, len(names), graded, l2, steps)
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, t)
 
 
 def severity(text: Column, model: Model) -> Column:

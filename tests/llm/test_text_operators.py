@@ -1,9 +1,11 @@
 """Toxicity, repetition rules, HTML and quality."""
 
 import collections
-import time
+import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -104,19 +106,63 @@ def test_toxic_texts_are_found(spark, sf_dir):
     assert ((out.severity >= 0) & (out.severity <= 3)).all() and out.grade.between(0, 3).all()
 
 
-def test_cumulative_link_orders_grades():
+def labelled(spark, texts, toxic):
+    rows = list(enumerate(texts))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+
+
+def test_cumulative_link_orders_grades(spark):
     r = random.Random(1)
     texts, toxic = [], []
     for _ in range(400):
         n = r.choice([0, 0, 0, 1, 3, 8])
         texts.append(" ".join([f"w{r.randrange(500)}" for _ in range(40)] + ["insultword"] * n))
         toxic.append(int(n > 0))
-    m = toxicity.train(texts, toxic)
+    m = toxicity.fit(*labelled(spark, texts, toxic))
     p = m.above(np.array([m.margin("insultword " * n) for n in (0, 1, 3, 8)]))
     assert (np.diff(m.thresholds) > 0).all() and (np.diff(p.sum(axis=1)) > 0).all()
     assert p[0, 0] < 0.5 < p[1, 0] and p[3].sum() > 1.5
 
 
+def brute_toxicity(pairs, most):
+    """The model by definition, with every text in memory."""
+    pairs = sorted(set(pairs), key=lambda p: (hashlib.md5((p[0] or "").encode()).digest(), p[1]))
+    words = [re.findall(r"[^\W\d_]+", (t or "").lower()) for t, _ in pairs]
+    of = lambda w: {w + "$"} | {w[:n] for n in (4, 5, 6, 7) if len(w) >= n}
+    y = np.array([v for _, v in pairs])
+    holds = [set().union(*map(of, ws)) for ws in words]
+    toxic = collections.Counter(f for h, v in zip(holds, y, strict=True) if v for f in h)
+    clean = collections.Counter(f for h, v in zip(holds, y, strict=True) if not v for f in h)
+    lift = {f: math.log((n + 0.5) / (y.sum() + 1)) - math.log((clean[f] + 0.5) / (len(y) - y.sum() + 1)) for f, n in toxic.items() if n >= max(2, int(0.01 * y.sum()))}
+    names = sorted((f for f in lift if lift[f] > math.log(4)), key=lambda f: (-round(toxic[f] * lift[f], 9), f))[:most]
+    typical = {f for f in names if toxic[f] > 9 * clean[f]}
+    grade = [0 if not v else 1 if n <= 1 else 2 if n <= 4 else 3 for v, n in ((v, sum(bool(of(w) & typical) for w in ws)) for ws, v in zip(words, y, strict=True))]
+    cells = [(i, names.index(f), math.log1p(n)) for i, ws in enumerate(words) for f, n in collections.Counter(f for w in ws for f in of(w)).items() if f in set(names)]
+    row, col, value = map(np.array, zip(*cells, strict=True))
+    w, t = toxicity.fit_cumulative(row, col, value, len(names), np.array(grade), 0.2, 500)
+    return {f: x for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, t
+
+
+def test_fit_matches_brute_force(spark):
+    r = random.Random(7)
+    bad = ["stupid", "stupidly", "Vermin", "scum", "ИДИОТ"]
+    texts = [" ".join([f"{r.choice(['stuff', 'green', 'Walk', 'été'])}{'abcdefg'[: r.randrange(8)]}" for _ in range(30)] + r.choices(bad, k=r.choice([0, 0, 1, 3, 6]))) for _ in range(150)]
+    toxic = [int(any(b.lower() in t.lower() for b in bad)) if i % 9 else r.randrange(2) for i, t in enumerate(texts)]
+    texts, toxic = [*texts, *texts[:20], None, "", ""], [*toxic, *toxic[:20], 0, 1, 0]  # copies count once
+    model = toxicity.fit(*labelled(spark, texts, toxic))
+    weights, thresholds = brute_toxicity([(t or "", v) for t, v in zip(texts, toxic, strict=True)], toxicity.MAX_FEATURES)
+    assert len(weights) > 5 and model.weights.keys() == weights.keys()
+    assert all(math.isclose(model.weights[f], w, rel_tol=1e-6, abs_tol=1e-8) for f, w in weights.items()) and np.allclose(model.thresholds, thresholds)
+
+
+def test_repeated_ids_keep_the_fit_bounded(spark):
+    """One labelled id with many texts: those of the least digests are used, the same at each run."""
+    docs = spark.createDataFrame([(1, f"vermin number {'abcdefghij'[i % 10] * (i + 4)}") for i in range(60)] + [(i, f"calm words {'klmnopq'[i % 7] * i}") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)], "doc_id long, toxic int")
+    fits = [toxicity.fit(d, labels, max_rows=11) for d in (docs, docs.repartition(5))]
+    assert fits[0].weights == fits[1].weights and fits[0].weights["vermin$"] > 0
+
+
 def test_toxicity_edges(spark, edge, edge_rows, no_rows):
     model = toxicity.Model({"bad$": 5.0}, np.array([2.0, 3.0, 4.0]))
     out = toxicity.grade(edge, model).collect()
