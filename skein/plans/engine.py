@@ -89,9 +89,17 @@ class Engine:
         self._put(name.lower(), Table(df))
 
     def register_function(self, name: str, function, returns: str) -> None:
-        """A Python function for use in SQL; pass a pandas or Arrow UDF for anything but small tables."""
+        """A Python function for use in SQL; pass a pandas or Arrow UDF for anything but small tables.
+
+        A grouped-aggregate UDF is an aggregate function.  Its groups are whole in a task each, so pre-aggregate with
+        built-in functions where a group may be large.
+        """
         self.spark.udf.register(name, function) if hasattr(function, "evalType") else self.spark.udf.register(name, function, returns)
 
+    def register_table_function(self, name: str, function) -> None:
+        """A Python table function (made with ``pyspark.sql.functions.udtf``) for use in FROM and LATERAL."""
+        self.spark.udtf.register(name, function)
+
     def load_parquet(self, path: str, name: str, columns: list[str] | None = None) -> int:
         self._put(name.lower(), Table(files.read_parquet(self.spark, path, columns)))
         return self.catalog.tables[name.lower()].df.count()

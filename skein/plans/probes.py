@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from skein.functions import json_functions, scalar
 from skein.operators import approximate, grouping, joins, mutation, similarity, temporal
@@ -568,7 +571,84 @@ def check_condition(t, spark, sf_dir):
 _script("alter_add_column", ["CREATE TABLE t AS SELECT r_regionkey, r_name FROM region", "ALTER TABLE t ADD COLUMN w INT DEFAULT 7", "ALTER TABLE t RENAME COLUMN r_name TO name", "SELECT * FROM t"], "SELECT r_regionkey, r_name AS name, 7 AS w FROM region")
 _script("create_table_as", ["CREATE TABLE c AS SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey", "SELECT * FROM c"], "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey")
 _script("truncate", ["CREATE TABLE t AS SELECT * FROM nation", "TRUNCATE TABLE t", "SELECT COUNT(*) AS n FROM t"], "SELECT CAST(0 AS BIGINT) AS n")
-_script("explain", ["EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1"])
+
+
+@probe("SELECT TRUE AS filtered, TRUE AS pruned")
+def explain(t, spark, sf_dir):
+    """Whether the plan has the filter and reads no other columns."""
+    plan = engine(spark, sf_dir).execute("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1")
+    return plan.agg(F.bool_or(F.col("plan").contains("Filter") & F.col("plan").contains("n_regionkey")).alias("filtered"), (~F.bool_or(F.col("plan").contains("Aggregate"))).alias("pruned"))
+
+
+@probe("SELECT COUNT(*) AS n, TRUE AS timed FROM orders WHERE o_totalprice > 100000")
+def analyze(t, spark, sf_dir):
+    return engine(spark, sf_dir).execute("ANALYZE SELECT o_orderkey FROM orders WHERE o_totalprice > 100000").select(F.col("rows").alias("n"), (F.col("execution_time_ms") > 0).alias("timed"))
+
+
+@probe("SELECT column_name FROM (DESCRIBE lineitem)")
+def parquet_metadata(t, spark, sf_dir):
+    return files.values(spark, [(c,) for c in files.column_names(spark, f"{sf_dir}/lineitem.parquet")], "column_name string")
+
+
+_script("vacuum", [_NATIONS, "UPDATE n SET r = r + 1", "DELETE FROM n WHERE k = 3", "VACUUM", "SELECT k, v, r FROM n"], "SELECT n_nationkey AS k, n_name AS v, n_regionkey + 1 AS r FROM nation WHERE n_nationkey <> 3")
+_script("similar_to", ["CREATE TABLE bits AS SELECT s_suppkey AS id, s_suppkey * 37 AS b FROM supplier", "SELECT id FROM bits SIMILAR TO b x'FF' WITHIN HAMMING DISTANCE 3"], "SELECT s_suppkey AS id FROM supplier WHERE bit_count(xor(s_suppkey * 37, 255)) <= 3")
+_script("sql_function", ["CREATE FUNCTION twice(@x INT, y INT) RETURNS INT AS BEGIN RETURN @x * 2 + y END", "SELECT n_nationkey, twice(n_nationkey, n_regionkey) AS t FROM nation"], "SELECT n_nationkey, n_nationkey * 2 + n_regionkey AS t FROM nation")
+_script("session_context", ["SET segment = 'BUILDING'", "SELECT c_custkey, SESSION_CONTEXT('none') AS x FROM customer WHERE c_mktsegment = SESSION_CONTEXT('segment')"], "SELECT c_custkey, CAST(NULL AS VARCHAR) AS x FROM customer WHERE c_mktsegment = 'BUILDING'")
+
+
+@probe("SELECT n_name FROM nation JOIN (VALUES (3), (7)) AS p(a) ON n_nationkey = a")
+def table_type(t, spark, sf_dir):
+    own = Engine(spark).attach(sf_dir)
+    own.execute("CREATE TYPE wanted AS TABLE (a INT, b VARCHAR(5))")
+    own.table_value("wanted", "p", [(3, "x"), (7, None)])
+    return own.execute("SELECT n_name FROM nation JOIN p ON n_nationkey = a")
+
+
+@probe("SELECT n_nationkey AS k, n_name AS v, n_regionkey AS r FROM nation WHERE n_regionkey <> 1")
+def backup_restore(t, spark, sf_dir):
+    """The tables as saved at 200, between two changes."""
+    folder = f"{shared_dir(spark)}/skein-backup-{uuid.uuid4().hex}"
+    moments = iter((100, 200, 300, 400, 500, 600))
+    own = Engine(spark, (folder,), clock=lambda: next(moments)).attach(sf_dir)
+    for statement in (_NATIONS, f"BACKUP TO '{folder}'", "DELETE FROM n WHERE r = 1", f"BACKUP TO '{folder}'", "DELETE FROM n", f"BACKUP TO '{folder}'", f"RESTORE FROM '{folder}' AS OF TIMESTAMP 250"):
+        own.execute(statement)
+    return own.execute("SELECT k, v, r FROM n")
+
+
+@probe("SELECT c_custkey, upper(c_mktsegment) AS loud FROM customer")
+def scalar_udf(t, spark, sf_dir):
+    own = Engine(spark).attach(sf_dir)
+    own.register_function("loud", F.arrow_udf(pc.utf8_upper, "string", ArrowUDFType.SCALAR), "string")
+    return own.execute("SELECT c_custkey, loud(c_mktsegment) AS loud FROM customer")
+
+
+@probe("SELECT n_regionkey, MAX(n_nationkey) - MIN(n_nationkey) AS spread FROM nation GROUP BY n_regionkey")
+def aggregate_udf(t, spark, sf_dir):
+    own = Engine(spark).attach(sf_dir)
+    own.register_function("spread", F.arrow_udf(_spread, "int", ArrowUDFType.GROUPED_AGG), "int")
+    return own.execute("SELECT n_regionkey, spread(n_nationkey) AS spread FROM nation GROUP BY n_regionkey")
+
+
+def _spread(values):
+    ends = pc.min_max(values)
+    return ends["max"].as_py() - ends["min"].as_py()
+
+
+class _Pieces:
+    """Each piece of a text between marks, with its position."""
+
+    def eval(self, text: str, mark: str):
+        for at, piece in enumerate((text or "").split(mark)):
+            yield at, piece
+
+
+@probe("SELECT n_nationkey, CAST(pos AS INT) AS pos, piece FROM (SELECT n_nationkey, generate_subscripts(string_split(n_name, '_'), 1) - 1 AS pos, unnest(string_split(n_name, '_')) AS piece FROM nation) AS x")
+def table_udf(t, spark, sf_dir):
+    own = Engine(spark).attach(sf_dir)
+    own.register_table_function("pieces", F.udtf(_Pieces, returnType="pos int, piece string"))
+    return own.execute("SELECT n_nationkey, pos, piece FROM nation, LATERAL pieces(n_name, '_')")
+
+
 _script("show_tables", ["CREATE TABLE a (id INT)", "CREATE VIEW b AS SELECT id FROM a", "SHOW TABLES"], "SELECT unnest(['a', 'b']) AS table_name")
 
 # -- suites and streaming ---------------------------------------------------------------------------------

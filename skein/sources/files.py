@@ -68,10 +68,16 @@ def one_row(spark: SparkSession) -> DataFrame:
     return spark.range(1).select()
 
 
+def _resolved(path: str) -> str:
+    """``path`` without dots; the scheme and host of a URI stay as they are."""
+    scheme, mark, rest = path.partition("://")
+    return scheme + mark + posixpath.normpath(rest) if mark else posixpath.normpath(path)
+
+
 def allowed(path: str, folders: tuple[str, ...]) -> str:
     """``path`` if it lies in one of ``folders`` once its dots are resolved; else an error."""
-    clean = posixpath.normpath(path)
-    if not any(clean == f or clean.startswith(f.rstrip("/") + "/") for f in map(posixpath.normpath, folders)):
+    clean = _resolved(path)
+    if not any(clean == f or clean.startswith(f.rstrip("/") + "/") for f in map(_resolved, folders)):
         raise PermissionError(f"{path} is outside the folders that COPY and BACKUP may use")
     return clean
 
