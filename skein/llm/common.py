@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.sources.storage import drop_scratch, scratch, shared_dir
 
-__all__ = ["bounded_sample", "drop_scratch", "join_unique", "partitions", "rows_of", "scratch", "shared_dir", "small", "table", "text_key"]
+__all__ = ["arrow_rows", "bounded_sample", "drop_scratch", "join_unique", "partitions", "rows_of", "scratch", "shared_dir", "small", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run meanwhile hand Python at most ``most`` rows at once, for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rows_of(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
     """Slices of a batch of at most about ``most_bytes`` (one row at least), so memory stays bounded."""
     if batch.num_rows == 0:

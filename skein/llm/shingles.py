@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import drop_scratch, join_unique, partitions, rows_of, scratch, small, text_key
+from skein.llm.common import arrow_rows, drop_scratch, join_unique, partitions, rows_of, scratch, small, text_key
 from skein.llm.components import components
 
 SEED = 42
@@ -37,6 +37,8 @@ WIDTH, TABLES = 6, 40
 POSITIONS = WIDTH * TABLES
 #: Pairs that are held at once, and shingles that are hashed at once.
 PAIRS, CHUNK = 1 << 15, 1 << 12
+#: Pairs whose whole sets go to Python at once; a hub's set stands in each of its pairs.
+COMPARED = 64
 PRIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -101,8 +103,8 @@ def prints(text: Column, shingle: int) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("print", T.BinaryType())]))
     def of(batch: pa.Array) -> pa.Array:
-        sets = [shingles(t, shingle) for t in batch.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array(map(fingerprint, sets), pa.binary())], names=["node", "print"])
+        found = [(_digest(h), fingerprint(h)) for h in (shingles(t.as_py(), shingle) for t in batch)]  # one set at a time
+        return pa.StructArray.from_arrays([pa.array((f[k] for f in found), pa.binary()) for k in (0, 1)], names=["node", "print"])
 
     return of(text)
 
@@ -245,7 +247,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: fl
         return df.join(of("u"), "u").join(of("v"), "v").select("u", "v", f"u_{what}", f"v_{what}").mapInArrow(keep, "u binary, v binary")
 
     near = scratch(pairs if tallied else both(pairs, nodes, "print", tally), "tallied")
-    return scratch(both(near, sets, "set", check), "verified")
+    with arrow_rows(pairs.sparkSession, COMPARED):
+        return scratch(both(near, sets, "set", check), "verified")
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
