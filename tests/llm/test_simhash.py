@@ -81,6 +81,21 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_stars_and_random_links(spark):
+    """Stars need no round; stars whose centres are linked, or whose nodes have two centres, do."""
+    rng = random.Random(5)
+    for size, links in ((40, 20), (40, 60), (12, 8)):
+        pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(links)] + [(100 + i, 100) for i in range(1, 9)] + [(300, 200), (300, 250), (200, 150)]
+        root = {n: n for p in pairs for n in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        alone = {n for n in root if all(a == b for a, b in pairs if n in (a, b))}
+        found = components(spark.createDataFrame(pairs, "u long, v long")).collect()
+        assert len(found) == len(root) - len(alone)
+        assert {r.node: r.root for r in found} == {n: r for n, r in root.items() if n not in alone}
+
+
 def test_similar_texts_with_lanes(spark):
     r = random.Random(3)
     vocabulary = [f"w{n}" for n in range(5000)]
