@@ -9,8 +9,9 @@ so no link is false.
 
 Equal sets are one node.  Nodes are ordered by how many others they meet in postings, as the text that others were
 made from meets most.  A posting first hands on the pairs with its first node, then those of its first
-node that is not yet linked to that one, and last all pairs that are still apart and whose tally, taken within the posting,
-is high enough: no link that the index knows is lost, and a group of many near copies does not cost all its pairs.  Keys have 48 bits beside their table, so postings do not grow with
+node that is not yet linked to that one.  Last, every posting whose nodes are still apart gets their whole sets, compares them in place and hands on
+a spanning forest of its true pairs: fewer links than nodes, however many pairs are nearly similar enough.  No link that the index knows is lost.  In a
+large posting, pairs that cannot be similar by an exact bound (``likely``) are not even looked at.  Keys have 48 bits beside their table, so postings do not grow with
 the corpus; texts are not shuffled, only sets of nodes that share a posting with another are sent to be compared.
 
 Cases: all texts without words have the same empty set; a text with fewer words than a shingle is one shingle; null ids
@@ -39,6 +40,10 @@ POSITIONS = WIDTH * TABLES
 PAIRS, CHUNK = 1 << 15, 1 << 12
 #: Pairs whose whole sets go to Python at once; a hub's set stands in each of its pairs.
 COMPARED = 64
+#: Nodes of a posting up to which all its pairs are looked at, and postings' rows with a shingle up to which it is rare there.
+FEW, RARE = 64, 8
+#: Bytes of sets that a task holds, and that one posting may have; the pairs of a larger one are compared outside of it.
+HELD, HEAVY = 8 << 20, 64 << 20
 PRIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -125,13 +130,8 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "print").mapInArrow(of, "key long, node binary")
 
 
-def candidates(index: DataFrame, similarity: float, centre: str) -> DataFrame:
-    """(u, v), u before v, each once: pairs of a posting whose ``root`` differs.
-
-    With the posting's first node only ("first"), or with the first that is apart from that ("second").  Or ("all") all
-    pairs whose tally is high enough, each from the first posting that it shares; the index then has a column ``print``.
-    """
-    least = least_bytes(similarity)
+def candidates(index: DataFrame, centre: str) -> DataFrame:
+    """(u, v), u before v, each once: pairs of a posting whose ``root`` differs, with its first node ("first") or with the first that is apart from that ("second")."""
 
     def first_of(key, some):
         """For each row the place of its posting's first row of ``some``; the row itself if there is none."""
@@ -141,50 +141,19 @@ def candidates(index: DataFrame, similarity: float, centre: str) -> DataFrame:
         place = np.repeat(place, np.diff(np.append(head, len(key))))
         return np.where(place < len(key), place, at)
 
-    def steps(key, root):
-        at = np.arange(len(key))
-        if centre == "all":
-            step = 1
-            while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
-                yield at, at + step
-                step += 1
-            return
-        first = first_of(key, np.ones(len(key), bool))
-        if centre == "second":
-            first = first_of(key, root != root[first])
-        yield np.minimum(first, at), np.maximum(first, at)
-
-    def high(key, prints, i, j):
-        """Which pairs have this posting as their first one and share bytes enough."""
-        same = prints[i] == prints[j]
-        table = (key[i].view(np.uint64) >> np.uint64(8 * WIDTH)).astype(np.int64)
-        return (same.sum(axis=1, dtype=np.int32) >= least) & (same.reshape(-1, TABLES, WIDTH).all(axis=2).argmax(axis=1) == table)
-
     def emit(t: pa.Table):
         node, key = t.column("node").combine_chunks(), np.ascontiguousarray(t.column("key").to_numpy())
         root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
-        prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, POSITIONS) if centre == "all" else None
-        held, count = [], 0
-
-        def batch():
-            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
-
-        for i, j in steps(key, root):
-            for k in range(0, len(i), PAIRS):
-                a, b = i[k : k + PAIRS], j[k : k + PAIRS]
-                ok = root[a] != root[b]
-                a, b = a[ok], b[ok]
-                if prints is not None:
-                    ok = high(key, prints, a, b)
-                    a, b = a[ok], b[ok]
-                held.append((a, b))
-                count += len(a)
-                if count >= PAIRS:
-                    yield batch()
-                    held, count = [], 0
-        if count:
-            yield batch()
+        first = first_of(key, np.ones(len(key), bool))
+        if centre == "second":
+            first = first_of(key, root != root[first])
+        at = np.arange(len(key))
+        i, j = np.minimum(first, at), np.maximum(first, at)
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            ok = root[a] != root[b]
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a[ok])), node.take(pa.array(b[ok]))], names=["u", "v"])
 
     def scan(batches):
         kept = None
@@ -200,9 +169,129 @@ def candidates(index: DataFrame, similarity: float, centre: str) -> DataFrame:
         if kept is not None and kept.num_rows:
             yield from emit(kept)
 
-    dealt = index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", F.desc("degree"), "node")
-    found = dealt.select("key", "node", "root", *(["print"] if centre == "all" else [])).mapInArrow(scan, "u binary, v binary")
-    return found if centre == "all" else found.distinct()
+    return _dealt(index).select("key", "node", "root").mapInArrow(scan, "u binary, v binary").distinct()
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """Whole postings side by side, their nodes in order."""
+    return index.repartition(partitions(index.sparkSession), "key").sortWithinPartitions("key", F.desc("degree"), "node")
+
+
+def every_pair(n: int):
+    """(i, j) in arrays of bounded length: each pair of ``n`` rows once."""
+    for i in range(n - 1):
+        for at in range(i + 1, n, PAIRS):
+            j = np.arange(at, min(n, at + PAIRS))
+            yield np.full(len(j), i), j
+
+
+def likely(sets: list[np.ndarray], similarity: float):
+    """(i, j), i before j, in arrays of bounded length, some repeated: all pairs of ``sets`` that may have the similarity.
+
+    Exact: a pair either shares a shingle that at most ``RARE`` of the sets hold, and is found by that, or shares only
+    others.  Then it shares at most as many as either set has of those, c, and must have sizes a, b with
+    (1 + similarity) c >= similarity (a + b): each set reaches up to a size, and sizes are sorted.
+    Copies of one text with edits of their own mostly reach no other, so their number of pairs grows as they do.
+    """
+    size = np.array([len(h) for h in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, shingle, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = held[shingle]
+    rare = np.flatnonzero((held > 1) & (held <= RARE))
+    rare = rare[np.argsort(shingle[rare], kind="stable")]
+    for at in range(0, len(rare), PAIRS):
+        found = []
+        for step in range(1, RARE):
+            a = rare[at : at + PAIRS]
+            b = rare[at + step : at + step + PAIRS]
+            a = a[: len(b)]
+            same = shingle[a] == shingle[b]
+            found.append(row[a[same]] * len(sets) + row[b[same]])  # rows ascend within a shingle
+        found = np.unique(np.concatenate(found))
+        yield found // len(sets), found % len(sets)
+    common = np.bincount(row, held > RARE, len(sets))
+    reach = (1 + similarity) / similarity * common - size + 1e-6
+    order = np.argsort(size, kind="stable")
+    size, reach = size[order], reach[order]
+    for at in np.flatnonzero(reach >= size):
+        for start in range(at + 1, int(np.searchsorted(size, reach[at], "right")), PAIRS):
+            other = np.arange(start, min(start + PAIRS, int(np.searchsorted(size, reach[at], "right"))))
+            other = order[other[reach[other] >= size[at]]]
+            yield np.minimum(order[at], other), np.maximum(order[at], other)
+
+
+def forest(key: int, root: np.ndarray, prints: np.ndarray, sets: list[np.ndarray] | None, similarity: float):
+    """(i, j): of the rows of one posting links between ``root``s that connect what true pairs connect, fewer than rows.
+
+    A pair counts in the first posting that it shares only.  Without ``sets``: all pairs with shared bytes enough, unverified.
+    """
+    least, table = least_bytes(similarity), key >> 8 * WIDTH
+    root = root.copy()
+    few = sets is None or len(root) <= FEW
+    looks = iter([np.triu_indices(len(root), 1)]) if len(root) <= FEW else every_pair(len(root)) if few else likely(sets, similarity)
+    for i, j in looks:
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), CHUNK):
+            a, b = i[at : at + CHUNK], j[at : at + CHUNK]
+            same = prints[a] == prints[b]
+            ok = (same.sum(axis=1, dtype=np.int32) >= least) & (same.reshape(-1, TABLES, WIDTH).all(axis=2).argmax(axis=1) == table)
+            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                if sets is None:
+                    yield x, y
+                elif root[x] != root[y] and jaccard(sets[x], sets[y]) >= similarity:
+                    root[root == root[y]] = root[x]
+                    yield x, y
+
+
+def apart(index: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, sure) from postings with the columns ``print`` and ``set``: their links by ``forest``; not sure (unverified) from those with over ``HEAVY`` bytes of sets."""
+
+    def emit(t: pa.Table):
+        t = t.combine_chunks()
+        key, node = t.column("key").to_numpy(), t.column("node").combine_chunks()
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        us, vs, sure = [], [], []
+        for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            some = t.slice(start, end - start)
+            root = np.unique(np.array(some.column("root").to_pylist(), object), return_inverse=True)[1]
+            prints = np.frombuffer(b"".join(some.column("print").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            light = some.column("set").null_count == 0
+            sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in some.column("set")] if light else None
+            for i, j in forest(int(key[start]), root, prints, sets, similarity):
+                us.append(start + i)
+                vs.append(start + j)
+                sure.append(light)
+                if len(us) == PAIRS:
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(us)), node.take(pa.array(vs)), pa.array(sure)], names=["u", "v", "sure"])
+                    us, vs, sure = [], [], []
+        if us:
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(us)), node.take(pa.array(vs)), pa.array(sure)], names=["u", "v", "sure"])
+
+    def bare(t: pa.Table) -> pa.Table:
+        return t.set_column(t.schema.get_field_index("set"), "set", pa.nulls(t.num_rows, pa.binary()))
+
+    def scan(batches):
+        parts, held = [], 0
+        for now in batches:
+            if now.num_rows == 0:
+                continue
+            parts.append(pa.Table.from_batches([now]))
+            held += now.nbytes
+            first, last = parts[0].column("key")[0].as_py(), parts[-1].column("key")[-1].as_py()
+            if held >= HELD and first != last:
+                t = pa.concat_tables(parts)
+                done = int(np.searchsorted(t.column("key").to_numpy(), last))
+                yield from emit(t.slice(0, done))
+                parts = [t.slice(done)]
+                held = parts[0].nbytes
+            elif held >= HEAVY and first == last:
+                parts = [bare(part) for part in parts]
+                held = sum(part.nbytes for part in parts)
+        if parts:
+            yield from emit(pa.concat_tables(parts))
+
+    return _dealt(index).select("key", "node", "root", "print", "set").mapInArrow(scan, "u binary, v binary, sure boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -260,16 +349,20 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", shingle: in
     drop_scratch(met)
     sets = sets_of(docs, degrees.select("node"), text_col, shingle)
     known, rooted = None, index.withColumn("root", F.col("node"))
-    for centre in ("first", "second", "all"):
-        if centre == "all":  # only postings that still have nodes apart
-            apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-            rooted = rooted.join(small(scratch(apart, "apart")), "key", "left_semi").join(nodes.select("node", "print"), "node")
-        pairs = candidates(rooted, similarity, centre)
-        found = verified(pairs, nodes, sets, similarity, tallied=centre == "all")
+    for centre in ("first", "second"):
+        found = verified(candidates(rooted, centre), nodes, sets, similarity)
         known = found if known is None else known.unionByName(found)
-        if centre != "all":
-            roots = scratch(components(known), "roots")
-            rooted = index.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = scratch(components(known), "roots")
+        rooted = index.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # only postings that still have nodes apart
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rooted = rooted.join(small(scratch(mixed, "apart")), "key", "left_semi").join(nodes.select("node", "print"), "node").join(sets, "node")
+    with arrow_rows(docs.sparkSession, 2 * COMPARED):
+        found = scratch(apart(rooted, similarity), "forests")
+    known = known.unionByName(found.where("sure").select("u", "v"))
+    unsure = found.where("not sure").select("u", "v")
+    if not unsure.isEmpty():
+        known = known.unionByName(verified(unsure, nodes, sets, similarity, tallied=True))
     drop_scratch(index)
     drop_scratch(sets)
     return known

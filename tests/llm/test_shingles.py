@@ -108,3 +108,53 @@ def test_recall_by_band(spark):
     got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
     assert got == label
     assert any(0.8 <= s < 1 for s in pairs.values())
+
+
+def copies(n, kept=130, length=150, seed=3):
+    """A text, copies that keep its beginning but end in words of their own (similar to each other by 0.76), and links among some."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base = [word() for _ in range(length)]
+    texts = [base, *([*base[:kept], *(word() for _ in range(length - kept))] for _ in range(n)), *([*base[:-6], *(word() for _ in range(6))] for _ in range(20))]
+    texts += [[*t[:-1], word()] for t in texts[1:6]]
+    return list(enumerate(map(" ".join, texts)))
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Written tables of pairs stay below the postings' rows in a group where nearly all pairs are almost similar enough."""
+    rows = copies(300)
+    want, pairs = brute_groups(rows)
+    assert sum(0.7 < s < 0.8 for s in pairs.values()) > 40_000
+    write, counts = shingles.scratch, []
+
+    def counted(df, name):
+        out = write(df, name)
+        if {"u", "v"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "scratch", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == want
+    assert counts and max(counts) <= shingles.TABLES * len(rows)
+
+
+def test_postings_with_too_large_sets_are_compared_outside(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "HELD", 1)
+    monkeypatch.setattr(shingles, "HEAVY", 0)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == brute_groups(rows)[0]
+
+
+def test_likely_pairs_hold_all_true_ones(monkeypatch):
+    """Against all pairs; and their number grows as the copies do."""
+    monkeypatch.setattr(shingles, "PAIRS", 50)
+    for rows in (corpus(), copies(100)):
+        sets = [shingles.shingles(t, 5) for _, t in rows]
+        found = {(i, j) for a, b in shingles.likely(sets, 0.8) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert all(i < j for i, j in found)
+        true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i]) and shingles.jaccard(sets[i], sets[j]) >= 0.8}
+        assert true and true <= found
+    number = [sum(len(a) for a, _ in shingles.likely([shingles.shingles(t, 5) for _, t in copies(n)], 0.8)) for n in (200, 400)]
+    assert number[1] <= 2 * number[0] + 100
