@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import json_functions, scalar
 from skein.operators import approximate, grouping, joins, mutation, similarity, temporal
+from skein.plans import probes
 from skein.sources import files
 
 
@@ -74,6 +75,17 @@ def test_approximations_keep_their_bounds(spark):
     assert abs(approximate.merge_sketches(sketches, ["all"]).first().n_distinct - 1000) < 40
 
 
+def test_no_sketch_is_kept_per_value(spark, tmp_path, rows, monkeypatch):
+    keys = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 900).alias("l_orderkey"), (F.col("id") % 11).alias("l_partkey"))
+    keys.write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = probes.QUERIES["agg_approx_distinct"](spark, str(tmp_path))
+    sketches = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct(" in line]
+    assert sketches and all("keys=[]" in line for line in sketches)
+    assert rows(df) == [("orders", True), ("parts", True)]
+    monkeypatch.setattr(approximate, "approx_distinct", F.count)
+    assert rows(probes.QUERIES["agg_approx_distinct"](spark, str(tmp_path))) == [("orders", False), ("parts", False)]
+
+
 def test_hamming(spark, rows):
     df = spark.createDataFrame([(1, -1), (2, 0), (3, None)], "id int, b long")
     assert rows(similarity.within_hamming(df, "b", (1 << 64) - 1, 3).select("id")) == [(1,)]
